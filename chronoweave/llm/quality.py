@@ -7,8 +7,8 @@ common. Policies can change without another look at the texts, and the ablation
 rule alone removes, what removing it from the policy would bring back) are aggregates over the bits.
 
 Cases: a null text has no words and all counts 0, and fails ``few_words``; texts without words are
-the same; repeated rows each give a row; an empty table gives an empty ledger; columns other than
-the id and the text are passed through only by ``apply_rules``.
+the same; repeated rows each give a row; an empty table gives an empty ledger; ``apply_rules`` passes
+every column through, whatever its name; ``ledger`` takes rows without columns of its own names.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ RULES: tuple[tuple[str, str], ...] = (
     ("duplicate_lines", "n_lines > 3 and 2 * n_dup_lines > n_lines"),
 )
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
 #: Versioned policies: the rules that each enforces.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base-v1": ("few_words", "repeated_windows"),
@@ -61,7 +63,10 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_windows": windows(F.col("_words")),
     })
-    return out.withColumn("n_repeat_words", repeated(F.col("_windows")).cast("long")).drop("_words", "_lines", "_windows")
+    out = out.withColumn("n_repeat_words", repeated(F.col("_windows")).cast("long"))
+    # A generator of one row: filters on the measurements stay above it instead of being pushed
+    # into the measuring, which would do that work again for each use.
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*MEASURES))))
 
 
 def windows(words: Column) -> Column:
