@@ -5,10 +5,12 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .quality import OP5_SQL, op5_quality
+from .urls import op9_urls
+from .warc import op10_warc
 
 
 def queries():
-    return {"op1_bpe": op1_bpe, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate}
+    return {"op1_bpe": op1_bpe, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_urls": op9_urls, "op10_warc": op10_warc}
 
 
 def oracle_sql():
