@@ -5,12 +5,22 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .quality import OP5_SQL, op5_quality
+from .tokencount import op6_tokens
+from .tokenfile import op4_tokenfile
 from .urls import op9_urls
 from .warc import op10_warc
 
 
 def queries():
-    return {"op1_bpe": op1_bpe, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_urls": op9_urls, "op10_warc": op10_warc}
+    return {
+        "op1_bpe": op1_bpe,
+        "op4_tokenfile": op4_tokenfile,
+        "op5_quality": op5_quality,
+        "op6_tokens": op6_tokens,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_urls": op9_urls,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql():
