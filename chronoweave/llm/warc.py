@@ -1,10 +1,10 @@
-"""WARC archives: one request, response (or revisit) and metadata record per page, written as plain
+"""WARC archives: one request, response (or revisit) and metadata record per page, written as gzipped
 WARC/1.1 files by Spark's own text writer, read back and assembled into one nested row per capture.
 
 Writing. The payload's digest decides the record type: among pages with equal payloads of at least
 ``min_bytes`` bytes the smallest page_id is the response and the others revisit it. Only (page_id,
 digest) rows are grouped and joined for that; payloads stay where they are. Every record ends with the
-blank line that the writer puts after each row, so a part file is a valid archive; the write goes
+blank line that the writer puts after each row, so a part file, unzipped, is a valid archive; the write goes
 through Spark's commit protocol, and a lost executor's task is simply run again.
 
 Reading. Files are read whole (their size is bounded by ``pages_per_file``), parsed by Content-Length,
@@ -20,6 +20,7 @@ columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -112,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, pages_per_
             yield batch(out, value=values)
 
     lines = rows.mapInArrow(records, "value binary").select(F.expr("cast(value as string)").alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", 3 * pages_per_file).option("compression", "none").text(folder)
+    lines.write.option("lineSep", END).option("maxRecordsPerFile", 3 * pages_per_file).option("compression", "gzip").text(folder)
 
 
 def parse(data: bytes):
@@ -143,7 +144,7 @@ def read_records(spark: SparkSession, folder: str, with_payload: bool = False) -
         for b in batches:
             for content in b.column("content"):
                 rows = {f.name: [] for f in schema}
-                for h, block in parse(content.as_py()):
+                for h, block in parse(gzip.decompress(content.as_py())):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     kind = h["warc-type"]
                     full = kind == "response"
