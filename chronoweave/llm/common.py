@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,9 @@ def materialize(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_to = path
+    # What the written step shuffled is of no use any more; Spark deletes it once its driver notices.
+    gc.collect()
+    spark._jvm.System.gc()
     return back
 
 
