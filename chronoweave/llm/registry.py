@@ -9,6 +9,7 @@ from .quality import OP5_SQL, op5_quality
 from .substrings import op7_substrings
 from .tokencount import op6_tokens
 from .tokenfile import op4_tokenfile
+from .toxicity import op2_toxicity
 from .urls import op9_urls
 from .warc import op10_warc
 
@@ -16,6 +17,7 @@ from .warc import op10_warc
 def queries():
     return {
         "op1_bpe": op1_bpe,
+        "op2_toxicity": op2_toxicity,
         "op3_neardup": op3_neardup,
         "op4_tokenfile": op4_tokenfile,
         "op5_quality": op5_quality,
