@@ -135,6 +135,14 @@ def mark_contamination(
     return frame.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """The input's rows and columns that are not contaminated, whatever the columns' names."""
+    own = [f"_in_{k}" for k in range(len(docs.columns))]
+    renamed = docs.select("text", *[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)])
+    marked = mark_contamination(renamed, benchmark, window, max_words, with_rows=True)
+    return marked.where(~F.col("contaminated")).select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own)])
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
