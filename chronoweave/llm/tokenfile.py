@@ -7,9 +7,10 @@ document: ``part`` (the range), ``doc_id``, ``local_start`` (ids before it in it
 reader take the rows of some documents or only the metadata columns. A document's global start is its
 local start plus the lengths of the parts before, which come from the metadata columns alone.
 
-Encoding. The library encodes pieces of a text: cut before a space that follows a character that is
-no white space, which is always a boundary of the pre-tokeniser, and looks at nothing before it. Pieces
-are kept in a bounded table. A text with a special token's string goes through the library whole.
+Encoding. The library encodes pieces of a text. A text is cut before white space that follows another
+character, and before punctuation that follows a Latin letter: there the pre-tokeniser always
+has a boundary, and it looks at nothing before a match. The first ``MAX_PIECES`` pieces of a worker stay in
+a table, later ones for the group of texts at hand. A text with a special token's string goes whole.
 
 Cases: a null text counts as empty and has the end id only; repeated rows each give a row, equal ids in
 the order of their texts; null ids come first; an empty table gives an empty file set, read back without
@@ -21,23 +22,34 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import compress, count, islice
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch, new_folder
 
 END_ID = 2
-MAX_PIECES = 300_000
-GROUP = 64
+MAX_PIECES = 500_000
+GROUP = 2_048
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 DICTIONARY_BYTES = 1 << 20
+READ_ROWS = 4_096
 FILE_DDL = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
-_CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85᠎])(?= )")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PUNCTUATION = r"!-/:-@\[-`{-~"
+#: A word, punctuation, or else anything up to white space that follows another character.
+_PIECE = re.compile(
+    rf"[ \n]?[{_LATIN}]+(?=[ \n\t\r{_PUNCTUATION}]|\Z)|(?<=[{_LATIN}])[{_PUNCTUATION}]+(?=[ \n\t\r]|\Z)"
+    r"|(?s:.+?)(?:(?<=[^\s\x1c-\x1f\x85\u180e])(?=[ \n\t\r])|\Z)"
+)
 
 
 class PieceEncoder:
@@ -53,15 +65,16 @@ class PieceEncoder:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for at in range(0, len(texts), GROUP):
-            pieces = [[t] if any(s in t for s in self.special) else _CUT.split(t) for t in texts[at : at + GROUP]]
-            wanted = set().union(*pieces)
-            new = [p for p in wanted if p not in self.held]
-            if len(self.held) + len(new) > MAX_PIECES:
-                self.held.clear()
-                new = list(wanted)
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.held[p] = np.array(e.ids, "<u4").tobytes()
-            out += [b"".join(map(self.held.__getitem__, p)) for p in pieces]
+            pieces = [[t] if any(s in t for s in self.special) else _PIECE.findall(t) for t in texts[at : at + GROUP]]
+            got = [list(map(self.held.get, p)) for p in pieces]
+            holes = [list(compress(count(), map(not_, g))) for g in got]
+            new = list({p[k] for p, at in zip(pieces, holes) for k in at})
+            made = {p: array("I", e.ids).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+            for p, g, at in zip(pieces, got, holes):
+                for k in at:
+                    g[k] = made[p[k]]
+                out.append(b"".join(g))
+            self.held.update(islice(made.items(), max(0, MAX_PIECES - len(self.held))))
         return out
 
 
@@ -73,7 +86,7 @@ def piece_encoder(path: str) -> PieceEncoder:
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, parts: int | None = None) -> None:
     """Encode the documents, append end_id to each, and write the files."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = docs.repartitionByRange(*([parts] if parts else []), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = docs.repartitionByRange(*([parts] if parts else []), "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -98,32 +111,48 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     )
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """The files' rows with ``start``, the ids of all documents before each; columns that are not
-    asked for are not read."""
-    rows = spark.read.schema(FILE_DDL).parquet(folder)
-    sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(FILE_DDL).parquet(folder)
+
+
+def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``start``, the ids of all documents before a row's, to rows with ``part`` and
+    ``local_start``; of the files it reads the metadata columns only."""
+    sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     # One row per part: the scan over them is small, whatever the number of documents.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     return rows.join(offsets, "part").withColumn("start", F.col("offset") + F.col("local_start")).drop("offset")
 
 
-def checksums(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids, from the files' rows."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The files' rows with ``start``; columns that are not asked for are not read."""
+    files = read_files(spark, folder)
+    return with_starts(files, files)
+
+
+def checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens and the crc32 of the ids. The sums are made where the lists are read,
+    so that the lists travel nowhere."""
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def crc(batches):
         for b in batches:
-            lists = b.column("ids")
-            values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
-            sums = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(offsets[:-1], offsets[1:])]
-            sizes = np.diff(offsets)
-            if (sizes != b.column("n_tokens").to_numpy()).any():
-                raise ValueError("a list's length differs from its n_tokens")
-            yield batch(schema, doc_id=b.column("doc_id"), start=b.column("start"), n_tokens=b.column("n_tokens"), ids_crc32=sums)
-
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for content in b.column("content"):
+                for rows in pq.ParquetFile(pa.BufferReader(content.as_buffer())).iter_batches(READ_ROWS, use_threads=False):
+                    lists = rows.column("ids")
+                    values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
+                    sums = [zlib.crc32(values[s:e]) for s, e in zip(offsets[:-1], offsets[1:])]
+                    if (np.diff(offsets) != rows.column("n_tokens").to_numpy()).any():
+                        raise ValueError("a list's length differs from its n_tokens")
+                    yield batch(schema, **{c: rows.column(c) for c in ("part", "doc_id", "local_start", "n_tokens")}, ids_crc32=sums)
+
+    # Whole files, of the size of a range, are handed over as bytes and decoded in columns: no list is
+    # taken apart into rows on the way.
+    files = read_files(spark, folder)
+    contents = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("content")
+    rows = contents.mapInArrow(crc, "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    return with_starts(rows, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,4 +162,4 @@ def op4_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = new_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder, P.path("byte_bpe_50k.json"))
-    return checksums(read_tokens(spark, folder))
+    return checksums(spark, folder)

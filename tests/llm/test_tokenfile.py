@@ -14,13 +14,13 @@ PATH = P.path("byte_bpe_50k.json")
 
 def test_files_round_trip(spark):
     rng = random.Random(3)
-    parts = ["the ", "  two", "it's", "\n x", " \n", "　 y", "\x85 z", "\t", " ", "é à", "<|endoftext|>", "<|end", "日本", "12 3", "...", "᠎ q", "\x1c w"]
+    parts = ["the ", "  two", "it's", "\n x", " \n", "　 y", "\x85 z", "\t", " ", "é à", "<|endoftext|>", "<|end", "日本", "12 3", "...", "᠎ q", "\x1c w", "end.\n", "x,y", "no. 5", "a.'s", "é, ", "é;", "1, ", "_. ", "x're", "y'", "a_b", "c##", "d**e", "f's't", "(g)"]
     texts = [None, "", " ", "a" * 3000, "word " * 500] + ["".join(rng.choices(parts, k=rng.randint(1, 80))) for _ in range(120)]
     rows = [(rng.randint(0, 10_000), t, "q") for t in texts] + [(None, "null id", "q"), (7, "same", "q"), (7, "same", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
     folder = new_folder(spark, "t")
     tf.write_tokens(docs, folder, PATH, parts=5)
-    got = sorted((tuple(r) for r in tf.checksums(tf.read_tokens(spark, folder)).collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in tf.checksums(spark, folder).collect()), key=lambda r: r[1])
     tok = Tokenizer.from_file(PATH)
     start, want = 0, []
     for i, t in sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (-1 if r[0] is None else r[0], r[1].encode())):
@@ -42,4 +42,12 @@ def test_format_and_empty(spark, sf):
     assert "array<int>" not in plan
     folder = new_folder(spark, "t")
     tf.write_tokens(spark.createDataFrame([], "doc_id long, text string"), folder, PATH)
-    assert tf.checksums(tf.read_tokens(spark, folder)).count() == 0
+    assert tf.checksums(spark, folder).count() == 0
+
+
+def test_table_bound(monkeypatch):
+    monkeypatch.setattr(tf, "MAX_PIECES", 10)
+    tok, encoder = Tokenizer.from_file(PATH), tf.PieceEncoder(PATH)
+    texts = [f"word{k} and another{k % 7}, thing{k}.\n" * 3 for k in range(400)]
+    assert encoder.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(encoder.held) <= 10
