@@ -6,10 +6,13 @@
 2. Buckets of equal band keys with two classes or more give candidates. A pair's similarity is estimated
    from the signatures by counting bits, corrected for low bits that agree by chance, and pairs well
    under the threshold are dropped. What remains is confirmed on the full shingle sets.
-3. Links are found in three rounds, each of which merges what it confirms before the next one starts:
-   every class with one bucket centre; then bucket members with another centre of their bucket; then, in
-   the buckets that still hold several components, the pairs of classes of different components that the
-   estimate lets through. So a bucket of thousands of near copies costs a few rows per member.
+3. Links are found in rounds, each of which merges what it confirms before the next one starts. In the
+   first, a bucket's centre is the member that meets most others in all its buckets (of near copies, the
+   one that was changed least); in two more it is drawn at random. Each class is tested against the most
+   similar of its centres from another component. The last round takes, in the buckets that still hold
+   several components, the pairs of classes of different components that the estimate lets through; for
+   the members of large buckets an exact filter on rare shingles and a longer signature come first. So a
+   bucket of thousands of near copies costs a few rows per member.
 
 With 32 bands of 4 minima a pair of similarity 0.75 shares no bucket with a chance of 5e-6; the estimate
 loses it with one of about 1e-4 (ESTIMATE lies 4 standard deviations below 0.75).
@@ -37,8 +40,14 @@ SHINGLE = 5
 HASHES, ROWS, BITS = 128, 4, 2
 PERCENT = 75
 ESTIMATE = 0.58
+#: Larger buckets give their last candidates by rare shingles instead of pair by pair.
+HOT_BUCKET = 32
+#: For their members: hashes of the longer signature, its estimate's bound (again 4 standard deviations
+#: under 0.75), cells of the count sketch, and how many shingles a row carries to know a pair's first.
+LONG_HASHES, LONG_ESTIMATE, CELLS, EARLY = 512, 0.655, 1 << 16, 256
 BLOCK = 4_096
 _MULTIPLIERS = np.random.default_rng(20_240_601).integers(0, 2**64, HASHES, np.uint64) | np.uint64(1)
+_LONG = np.random.default_rng(20_240_608).integers(0, 2**64, LONG_HASHES, np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,10 +74,10 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, 2**64 - 1, np.uint64)
+def minima(shingles: np.ndarray, multipliers: np.ndarray = _MULTIPLIERS) -> np.ndarray:
+    low = np.full(len(multipliers), 2**64 - 1, np.uint64)
     for at in range(0, len(shingles), BLOCK):
-        np.minimum(low, (_MULTIPLIERS[:, None] * shingles[None, at : at + BLOCK]).min(axis=1), out=low)
+        np.minimum(low, (multipliers[:, None] * shingles[None, at : at + BLOCK]).min(axis=1), out=low)
     return low
 
 
@@ -89,14 +98,23 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 SIGNATURE = [f"s{k}" for k in range(HASHES * BITS // 64)]
 
 
-def estimate(a: str, b: str) -> Column:
+LONG_SIGNATURE = [f"l{k}" for k in range(LONG_HASHES * BITS // 64)]
+
+
+def estimate(a: str, b: str, signature: list[str] = SIGNATURE) -> Column:
     """Similarity from two packed signatures: low bits agree by chance in one of 2**BITS cases."""
     unequal = F.lit(0)
-    for s in SIGNATURE:
+    for s in signature:
         x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
         unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     chance = 1 / 2**BITS
-    return (1 - unequal / HASHES - chance) / (1 - chance)
+    return (1 - unequal / (len(signature) * 64 // BITS) - chance) / (1 - chance)
+
+
+def likely(a: str, b: str) -> Column:
+    """The sets' sizes allow a link and the estimate is not well under the threshold."""
+    p, q = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    return (100 * F.least(p, q) >= PERCENT * F.greatest(p, q)) & (estimate(a, b) >= ESTIMATE)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -157,10 +175,11 @@ class Links:
         own = self.rows.where("n_shingles > 0")
         one = own.dropDuplicates(["node"])
         bands = one.select("node", F.explode("bands").alias("key"))
-        many = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-        self.buckets = materialize(spark, bands.join(many, "key").select("key", "node"), "buckets")
-        active = self.buckets.select("node").distinct()
-        self.classes = materialize(spark, own.groupBy("node", *SIGNATURE).agg(F.min("doc_id").alias("first_id")).join(active, "node"), "classes")
+        many = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        self.buckets = materialize(spark, bands.join(many, "key").select("key", "node", "members"), "buckets")
+        active = self.buckets.groupBy("node").agg(F.sum("members").alias("meets"))
+        classes = own.groupBy("node", "n_shingles", *SIGNATURE).agg(F.min("doc_id").alias("first_id")).join(active, "node")
+        self.classes = materialize(spark, classes, "classes")
         self.sets = self._sets()
         self.tested = None
         self.labels = None
@@ -180,7 +199,8 @@ class Links:
                 yield batch(schema, **out)
 
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        wanted = self.classes.select("node", "first_id")
+        # Texts are dealt out at every size: the wanted ids grow with the input.
+        wanted = self.classes.select("node", "first_id").hint("merge")
         texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
         sets = texts.mapInArrow(shingles, "node long, shingles binary")
         return materialize(self.spark, sets, "sets")
@@ -188,29 +208,92 @@ class Links:
     def members(self) -> DataFrame:
         """key, node, comp of the buckets that hold several components."""
         if self.labels is None:
-            return self.buckets.withColumn("comp", F.col("node"))
+            return self.buckets.select("key", "node", F.col("node").alias("comp"))
         rows = self.buckets.join(self.labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
         mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         return rows.join(mixed, "key")
 
-    def with_signatures(self, pairs: DataFrame) -> DataFrame:
-        sig = self.classes.select("node", *SIGNATURE)
-        pairs = pairs.alias("p").join(sig.alias("x"), F.col("p.a") == F.col("x.node")).join(sig.alias("y"), F.col("p.b") == F.col("y.node"))
-        return pairs.where(estimate("x", "y") >= ESTIMATE).select("p.*")
-
-    def centres(self, members: DataFrame, turn: int) -> DataFrame:
-        """(a, b): a member and the centre of its bucket, from another component; each pair once."""
-        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp"))
-        centre = members.groupBy("key").agg(drawn.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
-        rows = members.join(centre, "key").where("comp <> centre_comp")
-        return rows.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "node").distinct()
+    def signed(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.classes.select("node", "n_shingles", "meets", *SIGNATURE), "node")
+
+    def with_centres(self, members: DataFrame, turn: int) -> DataFrame:
+        """(a, b): each member with the most similar centre of its buckets that is of another component."""
+        rank = F.col("meets") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        drawn = F.max(F.struct(rank.alias("r"), "node", "comp"))
+        ranked = members.join(self.classes.select("node", "meets"), "node") if turn == 0 else members
+        centre = ranked.groupBy("key").agg(drawn.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
+        rows = members.join(centre, "key").where("comp <> centre_comp").select("node", "centre").distinct()
+        sig = self.classes.select("node", "n_shingles", *SIGNATURE)
+        rows = rows.join(sig.alias("x"), "node").join(sig.select(F.col("node").alias("centre"), "n_shingles", *SIGNATURE).alias("y"), "centre")
+        rows = rows.where(likely("x", "y")).select(F.col("node"), F.col("centre"), estimate("x", "y").alias("e"))
+        best = rows.groupBy("node").agg(F.max(F.struct("e", "centre")).alias("c")).select("node", F.col("c.centre").alias("centre"))
+        return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
     def across(self, members: DataFrame) -> DataFrame:
-        """(a, b): pairs of a bucket of different components that the estimate lets through."""
-        rows = members.join(self.classes.select("node", *SIGNATURE), "node")
+        """(a, b): pairs of different components that share a bucket and may be linked."""
+        size = members.groupBy("key").agg(F.count("*").alias("n"))
+        sized = members.join(size, "key")
+        rows = self.signed(sized.where(F.col("n") <= HOT_BUCKET))
         on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-        pairs = rows.alias("x").join(rows.alias("y"), on & (estimate("x", "y") >= ESTIMATE))
-        return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        pairs = rows.alias("x").join(rows.alias("y"), on & likely("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        return pairs.union(self.across_hot(sized.where(F.col("n") > HOT_BUCKET).select("node", "comp").distinct())).distinct()
+
+    def across_hot(self, nodes: DataFrame) -> DataFrame:
+        """(a, b) among the members of large buckets, by an exact filter instead of their buckets.
+
+        With all shingles in one order, two sets of similarity 0.75 have their first common one so early in
+        each that enough can follow. Rare shingles come first in the order, by a sketch of counts of a
+        fixed size: what a heavily changed copy shares with nobody fills its beginning, so it meets few
+        others or none. A longer signature, made for these members only, sharpens the estimate."""
+        weight = nodes.groupBy("comp").agg(F.count("*").alias("size"))
+        single = nodes.join(weight, "comp").join(self.sets.dropDuplicates(["node"]), "node").select("node", "comp", "size", "shingles")
+        single = materialize(self.spark, single, "members")
+        cells = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+
+        def tally(batches):
+            for b in batches:
+                counts = np.zeros(CELLS, np.int64)
+                for x in b.column("shingles"):
+                    counts += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                used = np.flatnonzero(counts)
+                yield batch(cells, cell=used, n=counts[used])
+
+        # The sketch has CELLS rows at most, whatever the input.
+        sketch = single.mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros(CELLS, np.int64)
+        counts[sketch["cell"].to_numpy()] = sketch["n"].to_numpy()
+        counts = counts.clip(max=2**31 - 1).astype(np.int32)
+        schema = pa.schema([("node", pa.int64()), ("comp", pa.int64()), ("size", pa.int64()), ("n_shingles", pa.int64()), ("shingle", pa.int64()), ("nth", pa.int64()),
+                            ("early", pa.list_(pa.int64())), *[(c, pa.int64()) for c in LONG_SIGNATURE]])
+
+        def prefixes(batches):
+            for b in batches:
+                for node, comp, size, x in zip(*(b.column(c).to_pylist() for c in ("node", "comp", "size")), b.column("shingles")):
+                    found = np.frombuffer(x.as_buffer(), np.uint64)
+                    often = counts[(found & np.uint64(CELLS - 1)).astype(np.int64)]
+                    first = np.lexsort((found, often))[: len(found) // 4 + 1]
+                    at = np.flatnonzero(often[first] > 1)
+                    if not len(at):
+                        continue
+                    early = found[first].view(np.int64)
+                    long = {c: np.full(len(at), v) for c, v in zip(LONG_SIGNATURE, pack(minima(found, _LONG)))}
+                    yield batch(schema, node=np.full(len(at), node), comp=np.full(len(at), comp), size=np.full(len(at), size), n_shingles=np.full(len(at), len(found)),
+                                shingle=early[at], nth=at + 1, early=[early[: k + 1] if k < EARLY else None for k in at], **long)
+
+        ddl = "node long, comp long, size long, n_shingles long, shingle long, nth long, early array<long>, " + ", ".join(f"{c} long" for c in LONG_SIGNATURE)
+        rows = materialize(self.spark, single.mapInArrow(prefixes, ddl), "prefixes")
+        rows = rows.withColumn("rank", F.struct("size", "comp"))
+        largest = rows.groupBy("shingle").agg(F.max("rank").alias("top"))
+        # One side of each pair is of the smaller component.
+        left = rows.join(largest, "shingle").where("rank < top")
+        x, y = "x", "y"
+        total = 3 * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+        enough = (7 * (F.col("x.n_shingles") - F.col("x.nth") + 1) >= total) & (7 * (F.col("y.n_shingles") - F.col("y.nth") + 1) >= total)
+        # A pair is taken at its first common shingle, where both rows know theirs up to here.
+        first = F.coalesce(F.size(F.array_intersect("x.early", "y.early")) == 1, F.lit(True))
+        on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rank") < F.col("y.rank")) & enough
+        pairs = left.alias(x).join(rows.alias(y), on & (estimate(x, y, LONG_SIGNATURE) >= LONG_ESTIMATE) & first)
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     def confirm(self, pairs: DataFrame) -> None:
         """Test the pairs on the full sets, keep them as tested, merge the confirmed ones."""
@@ -228,10 +311,8 @@ class Links:
                 yield batch(schema, a=b.column("a"), b=b.column("b"), linked=linked)
 
         sets = self.sets
-        # A set's length alone can rule a pair out.
         joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        fits = 100 * F.least(F.length("x"), F.length("y")) >= PERCENT * F.greatest(F.length("x"), F.length("y"))
-        found = materialize(self.spark, joined.where(fits).select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean"), "tested")
+        found = materialize(self.spark, joined.select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean"), "tested")
         seen = found.select("a", "b")
         self.tested = seen if self.tested is None else self.tested.union(seen)
         links = found.where("linked").select("a", "b")
@@ -251,10 +332,8 @@ class Links:
     def find(self) -> DataFrame:
         """doc_id, text_hash, n_shingles, node, comp of every row."""
         if self.buckets.limit(1).count():
-            first = self.with_signatures(self.centres(self.members(), 0))
-            self.confirm(first.groupBy("node").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct())
-            for turn in (0, 1):
-                self.confirm(self.with_signatures(self.centres(self.members(), turn).select("a", "b").distinct()))
+            for turn in range(3):
+                self.confirm(self.with_centres(self.members(), turn))
             self.confirm(self.across(self.members()))
         rows = self.rows.select("doc_id", "text_hash", "n_shingles", "node")
         if self.labels is None:

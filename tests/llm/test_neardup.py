@@ -59,6 +59,21 @@ def test_against_brute_force(spark):
     assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
 
 
+def test_large_buckets_of_unlinked_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HOT_BUCKET", 3)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(90):
+        copy = list(base)
+        for i in rng.sample(range(150), rng.randint(1, 9)):
+            copy[i] = f"x{rng.randint(0, 999)}"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r)[:4] for r in nd.components(spark, docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
+
+
 def test_deduplicate_keeps_columns(spark):
     rows = [(1, "a b c d e f", 5), (2, "a b c d e f", 6), (2, "other words in a text", 7), (3, None, 8), (3, None, 9), (1, "a b c d e f", 5)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, node int")
