@@ -37,3 +37,10 @@ def merge_registers(a: Column, b: Column) -> Column:
 def register_probability(k: Column, n: Column, buckets: int) -> Column:
     """P(register <= k) after n distinct elements over so many registers."""
     return F.pow(1 - 1 / (F.pow(F.lit(2.0), k.cast("double")) * buckets), n.cast("double"))
+
+
+def simulated_register(u: Column, n: Column, buckets: int) -> Column:
+    """A register drawn by a uniform number in (0, 1): the least k with P(register <= k) >= u."""
+    # P(<= k) = (1 - 1 / (2**k * m))**n, solved for k
+    k = F.ceil(-F.log2(buckets * (1 - F.pow(u, 1 / n.cast("double")))))
+    return F.greatest(k, F.lit(0)).cast("int")

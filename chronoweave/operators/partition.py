@@ -81,6 +81,13 @@ def vertex_part(assigned: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
     return ids.join(assigned, "id", "left").select("id", F.coalesce("part", F.pmod("id", F.lit(parts)).cast("int")).alias("part"))
 
 
+def lookup(edges: DataFrame, placed: DataFrame, parts: int) -> DataFrame:
+    """Edges with the part of an earlier assignment, or one by hash where they have none."""
+    known = placed.groupBy("src", "dst").agg(F.min("part").alias("_part"))
+    rows = edges.join(known, ["src", "dst"], "left")
+    return rows.withColumn("part", F.coalesce("_part", hash_strategy("Hashing", parts))).drop("_part")
+
+
 # Greedy strategies.
 
 def _greedy(kind: str, parts: int, balance: float) -> Callable[[pd.DataFrame], pd.DataFrame]:

@@ -173,6 +173,18 @@ UNION SELECT src, r.landmark, d + 1 FROM r JOIN e4 ON dst = r.id WHERE d < 20) S
         "toy_length": "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT), (1, 1), (2, 2), (3, 1)) t(id, length)",
         "profile_exact": simple(exact(3), "SELECT * FROM p"),
         "profile_size": simple(exact(3), "SELECT id, count(DISTINCT nbr) AS size FROM p WHERE ts > 0 GROUP BY 1"),
+        "profile_output": f"""WITH {exact(3)}, dg AS (SELECT id, count(*) AS degree FROM n GROUP BY 1), sz AS (SELECT id, count(DISTINCT nbr) AS size FROM p WHERE ts > {HORIZON} GROUP BY 1),
+up AS (SELECT id, count(DISTINCT hop) AS updates FROM p GROUP BY 1)
+SELECT id, coalesce(size, 0) AS profile_size, coalesce(updates, 0) AS update_count, degree FROM dg LEFT JOIN sz USING (id) LEFT JOIN up USING (id)""",
+        "landmark_maps": f"""WITH RECURSIVE {E4}, lm AS {LENGTHS}, r AS (SELECT id, id AS landmark, 0::BIGINT AS d FROM lm
+UNION SELECT src, r.landmark, d + 1 FROM r JOIN e4 ON dst = r.id WHERE d < 20), m AS (SELECT id, landmark, min(d) AS dist FROM r GROUP BY 1, 2)
+SELECT id, count(*)::INT AS landmarks, max(dist) AS farthest FROM m GROUP BY 1""",
+        "batch_quality": f"""WITH {E1}, pl AS (SELECT (seq - 1) // {BATCH} AS batch_id, src, dst, ((({spread('src')}) % 3) * 3 + ({spread('dst')}) % 3) % {PARTS} AS part FROM e1),
+nd AS (SELECT batch_id, id, count(DISTINCT part) AS r FROM (SELECT batch_id, part, src AS id FROM pl UNION ALL SELECT batch_id, part, dst FROM pl) GROUP BY 1, 2),
+rf AS (SELECT batch_id, round(sum(r)::DOUBLE / count(*), 2) AS replication_factor FROM nd GROUP BY 1),
+ld AS (SELECT batch_id, sum(c)::BIGINT AS edges, round(stddev_pop(c) * 100 / avg(c), 6) AS relative_sd FROM (SELECT batch_id, part, count(*) AS c FROM pl GROUP BY 1, 2) GROUP BY 1)
+SELECT batch_id::BIGINT AS batch_id, edges, relative_sd, replication_factor FROM ld JOIN rf USING (batch_id)""",
+        "part_lookup": f"{DBH} SELECT src, dst, CASE WHEN src % 3 = 0 THEN part ELSE (({pair('src', 'dst')}) % {PARTS})::INT END AS part FROM pl",
         "profile_window_exact": simple(exact(3), f"SELECT id, count(DISTINCT nbr) AS size FROM p WHERE ts > {HORIZON} GROUP BY 1"),
         "profile_window_approx": simple(f"{approx(2)}, rg AS (SELECT id, bucket, max(rank) AS register FROM a WHERE ts >= {HORIZON} GROUP BY 1, 2)", estimate("rg")),
         "profile_approx": simple(approx(3), frontier("a", "id, hop")),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, sketch
-from ..operators import algorithms, edges as eg, metrics, partition as pt, profile as pf, text as tx
+from ..operators import algorithms, edges as eg, exports as ex, metrics, partition as pt, profile as pf, text as tx
 from ..sources import edges as src
 from ..streaming import profiles as st
 
@@ -174,6 +174,11 @@ def queries() -> dict:
         "toy_length": _toy,
         "profile_exact": lambda s, d: pf.exact(_e4(s, d), 3),
         "profile_size": lambda s, d: pf.sizes(pf.exact(_e4(s, d), 3), 0),
+        "profile_output": lambda s, d: ex.profile_output(pf.exact(_e4(s, d), 3), eg.degree_undirected(_e4(s, d)), HORIZON),
+        "landmark_maps": lambda s, d: ex.landmark_maps(algorithms.shortest_paths(_e4(s, d), algorithms.landmarks(eg.vertices(_e4(s, d)), 20), 20)).select(
+            "id", F.size("distances").alias("landmarks"), F.array_max(F.map_values("distances")).alias("farthest")),
+        "batch_quality": lambda s, d: ex.batch_quality(eg.batches(_e1(s, d), BATCH).withColumn("part", pt.hash_strategy("EdgePartition2D", PARTS))),
+        "part_lookup": lambda s, d: pt.lookup(_e1d(s, d), _placed(s, d).where("src % 3 = 0"), PARTS).select("src", "dst", "part"),
         "profile_window_exact": lambda s, d: pf.sizes(pf.exact(_e4(s, d), 3), HORIZON),
         "profile_window_approx": lambda s, d: pf.estimate(pf.merge_sketches(_sketch(s, d, 2), "id"), HORIZON, BUCKETS, "id"),
         "profile_approx": lambda s, d: _sketch(s, d, 3),

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.functions import hashing, sketch
-from chronoweave.operators import algorithms, edges as eg, metrics, partition as pt, profile as pf, text as tx
+from chronoweave.functions import hashing, parsing, sketch
+from chronoweave.operators import algorithms, edges as eg, exports as ex, metrics, partition as pt, profile as pf, text as tx
 from chronoweave.sources import edges as src
 from chronoweave.streaming import profiles as st
 
@@ -200,3 +200,19 @@ def test_metrics(spark, tmp_path):
            "input File:a.csv partitioner: DBH", "partition time 41", "PR time: 900", "x", "", ""]
     runs = metrics.parse_run_log(spark.createDataFrame([(k + 1, v) for k, v in enumerate(log)], "seq long, value string"))
     assert rows(metrics.best_run(runs, ["file", "algorithm", "partitioner"], "time", "partition_time")) == [("a.csv", "PR", "DBH", 700, 8)]
+
+
+def test_exports_and_parsing(spark, five):
+    d = algorithms.shortest_paths(five, spark.createDataFrame([(4,), (2,)], "id long"))
+    maps = {r.id: r.distances for r in ex.landmark_maps(d).collect()}
+    assert maps[1] == {2: 1, 4: 1} and maps[4] == {4: 0}
+    both = spark.createDataFrame([({1: 2, 3: 4}, {3: 1, 5: 6})], "a map<int,int>, b map<int,int>")
+    assert both.select(ex.merge_landmark_maps(F.col("a"), F.col("b")).alias("m")).collect()[0].m == {1: 2, 3: 1, 5: 6}
+    sk = spark.createDataFrame([(0, 0, 5, 10), (0, 0, 3, 20)], "id long, bucket int, rank int, ts long")
+    assert [tuple(x) for x in ex.nested_sketch(sk, "id").collect()[0].staircase] == [(5, 10), (3, 20)]
+    t = spark.createDataFrame([("2020-01-31T23:59:59.500GMT", " 7 "), ("no", "x")], "t string, n string")
+    r = t.select(F.unix_millis(parsing.service_time(F.col("t"))).alias("ms"), parsing.safe_long(F.col("n")).alias("n")).collect()
+    assert [tuple(x) for x in r] == [(1580515199500, 7), (None, 1)]
+    n = spark.range(2000).select(sketch.simulated_register(F.rand(3), F.lit(1000), 64).alias("k"))
+    share = n.where("k <= 4").count() / 2000
+    assert abs(share - (1 - 1 / (16 * 64)) ** 1000) < 0.04
