@@ -29,6 +29,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("mean_word_long", "word_chars > 20 * n_words"),
     ("symbol_heavy", "2 * n_symbols > n_words"),
     ("duplicate_lines", "n_lines > 3 and 2 * n_dup_lines > n_lines"),
+    ("symbol_ratio", "10 * n_symbols > n_words"),
 )
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -37,8 +38,9 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 POLICIES: dict[str, tuple[str, ...]] = {
     "base-v1": ("few_words", "repeated_windows"),
     "production-v1": ("few_words", "repeated_windows", "mean_word_short", "mean_word_long", "symbol_heavy", "duplicate_lines"),
+    "production-v2": ("few_words", "repeated_windows", "mean_word_short", "mean_word_long", "symbol_heavy", "duplicate_lines", "symbol_ratio"),
 }
-PRODUCTION = "production-v1"
+PRODUCTION = "production-v2"
 
 
 def mask_of(policy: str) -> int:
@@ -150,7 +152,7 @@ m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
   FROM w LEFT JOIN n USING (doc_id)),
 f AS (SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (word_chars < 2 * n_words)::INT
     + 8 * (word_chars > 20 * n_words)::INT + 16 * (2 * n_symbols > n_words)::INT
-    + 32 * (n_lines > 3 AND 2 * n_dup_lines > n_lines)::INT)::BIGINT AS failures FROM m)
+    + 32 * (n_lines > 3 AND 2 * n_dup_lines > n_lines)::INT + 64 * (10 * n_symbols > n_words)::INT)::BIGINT AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, failures = 0 AS kept, failures FROM f
 """

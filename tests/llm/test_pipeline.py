@@ -27,7 +27,7 @@ def cut(texts, depth=200):
 def good(text):
     n_words, chars, symbols, dup, rep = measures(text)
     lines = sum(bool(x.strip(" \t\r\x0b\x0c")) for x in (text or "").split("\n"))
-    return not (n_words < 10 or 100 * rep > 20 * n_words or chars < 2 * n_words or chars > 20 * n_words or 2 * symbols > n_words or (lines > 3 and 2 * dup > lines))
+    return not (n_words < 10 or 100 * rep > 20 * n_words or chars < 2 * n_words or chars > 20 * n_words or 10 * symbols > n_words or (lines > 3 and 2 * dup > lines))
 
 
 def test_against_brute_force(spark, sf):
