@@ -13,7 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_SEPARATORS = "\\x20\\x09-\\x0D"
 
 
+#: Bytes of a batch that is handed to Python, where the session sets no bound of its own: rows may hold
+#: whole texts or shingle sets, and executors keep several copies of a batch.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +59,7 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 def materialize(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, and a lost executor
     costs no recomputation. The path is in the frame's ``written_to`` attribute."""
+    bound_batches(spark)
     path = new_folder(spark, what)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

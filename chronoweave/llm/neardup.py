@@ -175,7 +175,8 @@ class Links:
         own = self.rows.where("n_shingles > 0")
         one = own.dropDuplicates(["node"])
         bands = one.select("node", F.explode("bands").alias("key"))
-        many = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        # A table of its own: a join of two plain exchanges is one whose hot keys can be split.
+        many = materialize(spark, bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
         self.buckets = materialize(spark, bands.join(many, "key").select("key", "node", "members"), "buckets")
         active = self.buckets.groupBy("node").agg(F.sum("members").alias("meets"))
         classes = own.groupBy("node", "n_shingles", *SIGNATURE).agg(F.min("doc_id").alias("first_id")).join(active, "node")
@@ -344,7 +345,7 @@ class Links:
 def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, comp (the component's internal name)."""
     rows = Links(spark, docs).find()
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    least = materialize(spark, rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     rows = rows.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "comp", "node", "text_hash")
 

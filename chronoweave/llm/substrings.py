@@ -231,7 +231,9 @@ def covered(spark: SparkSession, docs: DataFrame, depth: int, gram: int, hot: in
     """(h, ranges): the byte ranges of each distinct text that repeated windows cover, as (s, e) pairs."""
     found = materialize(spark, all_runs(docs, depth, gram), "runs")
     groups = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
-    again = materialize(spark, found.join(groups.select("gram", (F.col("lo") == F.col("hi")).alias("decided")), "gram"), "repeated")
+    # A table of its own: a join of two plain exchanges is one whose hot keys can be split.
+    groups = materialize(spark, groups.select("gram", (F.col("lo") == F.col("hi")).alias("decided")), "groups")
+    again = materialize(spark, found.join(groups, "gram"), "repeated")
     release(spark, found)
     sure = again.where("decided").select("h", F.col("start").alias("s"), (F.col("start") + F.col("windows") - 1 + depth).alias("e"))
 
