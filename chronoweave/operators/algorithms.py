@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import spread
-from ..sources.storage import materialize
+from ..sources.storage import materialize, materialize_counting
 from .edges import batches, both_ways, vertices, weights
 from .pregel import pregel
 
@@ -52,9 +52,10 @@ def components(edges: DataFrame) -> DataFrame:
         near = pairs.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("low"))
         step = labels.join(near, "id").select("id", "label", F.least("label", "low").alias("low"))
         far = labels.select(F.col("id").alias("low"), F.col("label").alias("further"))
-        step = materialize(spark, step.join(far, "low").select("id", F.least("further", "low").alias("next"), "label"), "labels")
+        step = step.join(far, "low").select("id", F.least("further", "low").alias("next"), "label")
+        step, changed = materialize_counting(spark, step, "labels", F.col("next") != F.col("label"))
         labels = step.select("id", F.col("next").alias("label"))
-        if not step.where("next <> label").limit(1).count():
+        if not changed:
             return labels
 
 
@@ -87,8 +88,8 @@ def shortest_paths(edges: DataFrame, marks: DataFrame, max_iter: int = 100) -> D
     for d in range(1, max_iter + 1):
         step = into.join(front.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "landmark").distinct()
         step = step.join(found, ["id", "landmark"], "left_anti").withColumn("dist", F.lit(d).cast("long"))
-        front = materialize(spark, step, "distances")
-        if not front.limit(1).count():
+        front, reached = materialize_counting(spark, step, "distances", F.lit(True))
+        if not reached:
             break
         found = found.unionByName(front)
     into.unpersist()

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize
+from ..sources.storage import materialize, materialize_counting
 
 
 def pregel(
@@ -64,7 +64,7 @@ def pregel(
         rest = otherwise or {}
         joined = state.drop("_active").join(messages, "id", "left")
         new = joined.select("id", *[F.when(got, apply.get(c, F.col(c))).otherwise(rest.get(c, F.col(c))).alias(c) for c in names], got.alias("_active"))
-        state = materialize(spark, new, "state")
-        if not state.where("_active").limit(1).count():
+        state, receivers = materialize_counting(spark, new, "state", F.col("_active"))
+        if not receivers:
             break
     return state.drop("_active")

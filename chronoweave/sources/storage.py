@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,10 @@ def materialize(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/chronoweave/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counting(spark: SparkSession, df: DataFrame, what: str, condition: Column) -> tuple[DataFrame, int]:
+    """As materialize, with the number of rows that meet a condition, counted while they are written."""
+    seen = Observation()
+    back = materialize(spark, df.observe(seen, F.count_if(condition).alias("n")), what)
+    return back, seen.get.get("n") or 0
