@@ -10,6 +10,7 @@ E0 = """e0 AS (SELECT o_orderkey + 1 AS seq, o_custkey AS src, (o_orderkey * 791
 E1 = f"{E0}, e1 AS (SELECT * FROM e0 WHERE src <> dst)"
 E1D = f"{E1}, e AS (SELECT src, dst, max(ts) AS ts FROM e1 GROUP BY 1, 2)"
 E4 = f"{E1}, e4 AS (SELECT * FROM e1 WHERE ((seq - 1) * 31 + 7) % 97 < 5)"
+E4_WHOLE = f"{E1}, e4 AS (SELECT * FROM e1)"
 E4D = f"{E4}, e AS (SELECT src, dst, max(ts) AS ts FROM e4 GROUP BY 1, 2)"
 HALVES = f"""{E4}, old AS (SELECT src, dst, arg_max(ts, seq) AS ts FROM e4 WHERE seq % 2 = 0 GROUP BY 1, 2),
 new AS (SELECT src, dst, arg_max(ts, seq) AS ts FROM e4 WHERE seq % 2 = 1 GROUP BY 1, 2)"""
@@ -131,7 +132,7 @@ def oracle_sql() -> dict[str, str]:
     simple = lambda cte, q: f"WITH {cte} {q}"
     part = lambda expr, cte=E1D: f"WITH {cte} SELECT src, dst, ({expr})::INT AS part FROM e"
     lo, hi = "least(src, dst)", "greatest(src, dst)"
-    return {
+    found = {
         "edge_scan": simple(E0, "SELECT * FROM e0"),
         "event_pairs": "SELECT a.event_id + 1 AS seq, a.user_id AS src, b.user_id AS dst, floor(epoch(a.ts))::BIGINT AS ts FROM events a JOIN events b ON b.event_id = a.event_id + 1",
         "drop_self_loops": simple(E1, "SELECT * FROM e1"),
@@ -237,3 +238,6 @@ FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1"
         "token_filter": "SELECT token FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE length(token) > 5",
         "token_top5": "SELECT token FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE length(token) > 5 ORDER BY token DESC LIMIT 5",
     }
+    # The same SQL over every edge.
+    whole = {f"{name}_whole": sql.replace(E4, E4_WHOLE) for name, sql in found.items() if E4 in sql}
+    return found | whole

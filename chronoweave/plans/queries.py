@@ -31,8 +31,7 @@ def _e4(spark: SparkSession, d: str) -> DataFrame:
     return src.sparse(_e1(spark, d))
 
 
-def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = _e4(spark, d)
+def _halves(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return eg.dedup_last(e.where("seq % 2 = 0")), eg.dedup_last(e.where("seq % 2 = 1"))
 
 
@@ -54,20 +53,20 @@ def _by(stat, column, rule):
     return query
 
 
-def _with_updates(s: SparkSession, d: str) -> DataFrame:
-    e = eg.dedup_max(_e4(s, d))
+def _with_updates(e: DataFrame) -> DataFrame:
+    e = eg.dedup_max(e)
     rows = pt.with_statistic(e, eg.degree_undirected(e), "degree", "degree")
     rows = pt.with_statistic(rows, pf.update_counts(pf.exact(e, 3)), "updates", "updates")
     first = e.withColumn("part", pt.hash_strategy("EdgePartition2D", PARTS))
     return pt.with_statistic(rows, pt.replicas(first), "replicas", "replicas")
 
 
-def _updates(kind: str):
-    return lambda s, d: _with_updates(s, d).withColumn("part", pt.by_updates(PARTS, kind)).select("src", "dst", "part")
+def _updates(graph, kind: str):
+    return lambda s, d: _with_updates(graph(s, d)).withColumn("part", pt.by_updates(PARTS, kind)).select("src", "dst", "part")
 
 
-def _nph(s: SparkSession, d: str) -> DataFrame:
-    e = eg.dedup_max(_e4(s, d))
+def _nph(e: DataFrame) -> DataFrame:
+    e = eg.dedup_max(e)
     rows = pt.with_statistic(e, pf.sizes(pf.exact(e, 3), 0), "size", "size")
     return rows.withColumn("part", pt.lower_end("size", PARTS)).select("src", "dst", "part")
 
@@ -76,8 +75,8 @@ def _greedy(kind: str):
     return lambda s, d: pt.greedy(_e1(s, d), kind, PARTS)
 
 
-def _sketch(s: SparkSession, d: str, hops: int) -> DataFrame:
-    return pf.approximate(_e4(s, d), hops, BUCKETS, hashing.spread(F.col("nbr")), TOP_BIT)
+def _sketch(e: DataFrame, hops: int) -> DataFrame:
+    return pf.approximate(e, hops, BUCKETS, hashing.spread(F.col("nbr")), TOP_BIT)
 
 
 def _elements(s: SparkSession, d: str) -> DataFrame:
@@ -124,9 +123,8 @@ def _task_skew(s: SparkSession, d: str) -> DataFrame:
     return metrics.task_skew(e, F.col("part"), F.col("src"))
 
 
-def _stream_profile(s: SparkSession, d: str) -> DataFrame:
+def _stream_profile(s: SparkSession, e: DataFrame) -> DataFrame:
     """The state after four batches, without its dominated entries."""
-    e = _e4(s, d)
     pairs, rows = st.empty_state(s)
     for k in range(4):
         pairs, rows = st.update(pairs, rows, e.where(F.col("seq") % 4 == k), 2)
@@ -138,8 +136,38 @@ def _simulate(s: SparkSession, d: str) -> DataFrame:
     return s.range(1, 31).select(F.col("id").alias("k")).select("k", F.round(sketch.register_probability(k, F.lit(SIM_N), BUCKETS), 9).alias("p"))
 
 
-def queries() -> dict:
+def _over(graph) -> dict:
+    """The queries whose SQL was written for the sparse graph, over any graph."""
     return {
+        "edge_replace": lambda s, d: eg.replace(*_halves(graph(s, d))),
+        "batch_touched_vertices": lambda s, d: eg.touched(*_halves(graph(s, d))),
+        "new_vertices": lambda s, d: eg.unseen(*_halves(graph(s, d))),
+        "batch_id": lambda s, d: eg.batches(src.with_seq(graph(s, d).withColumnRenamed("seq", "arrival"), "arrival"), 100).select("seq", "src", "dst", "ts", "batch_id"),
+        "connected_components": lambda s, d: algorithms.components(graph(s, d)),
+        "cc_capped": lambda s, d: algorithms.components_capped(graph(s, d), 3),
+        "cc_batches": lambda s, d: algorithms.components_by_batch(graph(s, d), BATCH),
+        "landmark_sample": lambda s, d: algorithms.landmarks(eg.vertices(graph(s, d)), 20),
+        "shortest_paths": lambda s, d: algorithms.shortest_paths(graph(s, d), algorithms.landmarks(eg.vertices(graph(s, d)), 20), 20),
+        "label_propagation": lambda s, d: algorithms.label_propagation(eg.dedup_max(graph(s, d)), 3),
+        "profile_exact": lambda s, d: pf.exact(graph(s, d), 3),
+        "profile_size": lambda s, d: pf.sizes(pf.exact(graph(s, d), 3), 0),
+        "profile_output": lambda s, d: ex.profile_output(pf.exact(graph(s, d), 3), eg.degree_undirected(graph(s, d)), HORIZON),
+        "landmark_maps": lambda s, d: ex.landmark_maps(algorithms.shortest_paths(graph(s, d), algorithms.landmarks(eg.vertices(graph(s, d)), 20), 20)).select(
+            "id", F.size("distances").alias("landmarks"), F.array_max(F.map_values("distances")).alias("farthest")),
+        "profile_window_exact": lambda s, d: pf.sizes(pf.exact(graph(s, d), 3), HORIZON),
+        "profile_window_approx": lambda s, d: pf.estimate(pf.merge_sketches(_sketch(graph(s, d), 2), "id"), HORIZON, BUCKETS, "id"),
+        "profile_approx": lambda s, d: _sketch(graph(s, d), 3),
+        "profile_stream": lambda s, d: _stream_profile(s, graph(s, d)),
+        "part_nph": lambda s, d: _nph(graph(s, d)),
+        "part_ubh": _updates(graph, "higher"),
+        "part_ubh_adv": _updates(graph, "advanced"),
+        "part_ubh_rev": _updates(graph, "lower"),
+    }
+
+
+def queries() -> dict:
+    whole = {f"{name}_whole": query for name, query in _over(_e1).items()}
+    return _over(_e4) | whole | {
         "edge_scan": lambda s, d: src.user_order(s, d),
         "event_pairs": lambda s, d: src.event_pairs(s, d),
         "drop_self_loops": lambda s, d: _e1(s, d),
@@ -148,41 +176,22 @@ def queries() -> dict:
         "reverse_edges": lambda s, d: eg.reverse(_e1(s, d)),
         "edge_dedup_lww": lambda s, d: eg.dedup_last(_e1(s, d)),
         "edge_dedup_max": _e1d,
-        "edge_replace": lambda s, d: eg.replace(*_halves(s, d)),
         "vertices": lambda s, d: eg.vertices(_e1(s, d)),
-        "batch_touched_vertices": lambda s, d: eg.touched(*_halves(s, d)),
-        "new_vertices": lambda s, d: eg.unseen(*_halves(s, d)),
         "degree_undirected": lambda s, d: eg.degree_undirected(_e1(s, d)),
         "degree_out": lambda s, d: eg.degree_out(_e1(s, d)),
         "out_degrees": lambda s, d: eg.out_edges(_e1(s, d)),
         "node_activity": lambda s, d: eg.activity(_e1(s, d)),
         "running_activity": lambda s, d: eg.running(_e1(s, d)).select("seq", "id", "activity"),
         "running_degree": lambda s, d: eg.running(_e1(s, d)).select("seq", "id", "degree"),
-        "batch_id": lambda s, d: eg.batches(src.with_seq(src.sparse(_e1(s, d)).withColumnRenamed("seq", "arrival"), "arrival"), 100).select("seq", "src", "dst", "ts", "batch_id"),
         "edge_weights": lambda s, d: eg.weights(_e1d(s, d).select("src", "dst")).select("src", "dst", F.round("weight", 9).alias("weight")),
         "degree_predictor": lambda s, d: eg.predictor_tally(_e1(s, d)),
         "repeat_edges": lambda s, d: src.repeat_edges(src.user_order(s, d)),
         "pagerank": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-4, 10).select("id", F.round("pr", 6).alias("pr")),
         "pagerank_coarse": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-2, 10).select("id", F.round("pr", 6).alias("pr")),
         "pagerank_topk": lambda s, d: algorithms.top(algorithms.pagerank(eg.reverse(_e1d(s, d)), 1e-4, 10).select("id", F.round("pr", 6).alias("pr"))),
-        "connected_components": lambda s, d: algorithms.components(_e4(s, d)),
-        "cc_capped": lambda s, d: algorithms.components_capped(_e4(s, d), 3),
-        "cc_batches": lambda s, d: algorithms.components_by_batch(_e4(s, d), BATCH),
-        "landmark_sample": lambda s, d: algorithms.landmarks(eg.vertices(_e4(s, d)), 20),
-        "shortest_paths": lambda s, d: algorithms.shortest_paths(_e4(s, d), algorithms.landmarks(eg.vertices(_e4(s, d)), 20), 20),
-        "label_propagation": lambda s, d: algorithms.label_propagation(eg.dedup_max(_e4(s, d)), 3),
         "toy_length": _toy,
-        "profile_exact": lambda s, d: pf.exact(_e4(s, d), 3),
-        "profile_size": lambda s, d: pf.sizes(pf.exact(_e4(s, d), 3), 0),
-        "profile_output": lambda s, d: ex.profile_output(pf.exact(_e4(s, d), 3), eg.degree_undirected(_e4(s, d)), HORIZON),
-        "landmark_maps": lambda s, d: ex.landmark_maps(algorithms.shortest_paths(_e4(s, d), algorithms.landmarks(eg.vertices(_e4(s, d)), 20), 20)).select(
-            "id", F.size("distances").alias("landmarks"), F.array_max(F.map_values("distances")).alias("farthest")),
         "batch_quality": lambda s, d: ex.batch_quality(eg.batches(_e1(s, d), BATCH).withColumn("part", pt.hash_strategy("EdgePartition2D", PARTS))),
         "part_lookup": lambda s, d: pt.lookup(_e1d(s, d), _placed(s, d).where("src % 3 = 0"), PARTS).select("src", "dst", "part"),
-        "profile_window_exact": lambda s, d: pf.sizes(pf.exact(_e4(s, d), 3), HORIZON),
-        "profile_window_approx": lambda s, d: pf.estimate(pf.merge_sketches(_sketch(s, d, 2), "id"), HORIZON, BUCKETS, "id"),
-        "profile_approx": lambda s, d: _sketch(s, d, 3),
-        "profile_stream": _stream_profile,
         "sliding_hll": lambda s, d: pf.merge_sketches(_elements(s, d), "id"),
         "sliding_hll_merge": lambda s, d: pf.merge_sketches(_elements(s, d).withColumn("id", F.col("id") % 100), "id"),
         "sliding_hll_prune": lambda s, d: pf.prune(pf.merge_sketches(_elements(s, d), "id"), "id"),
@@ -200,10 +209,6 @@ def queries() -> dict:
         "part_idbh": _by(lambda s, d, e: eg.degree_undirected(_e1(s, d)), "degree", pt.lower_end),
         "part_abh": _by(lambda s, d, e: eg.activity(_e1(s, d)), "activity", pt.lower_end),
         "part_rabh": _by(lambda s, d, e: eg.activity(_e1(s, d)), "activity", pt.higher_end),
-        "part_nph": _nph,
-        "part_ubh": _updates("higher"),
-        "part_ubh_adv": _updates("advanced"),
-        "part_ubh_rev": _updates("lower"),
         "part_hdrf": _greedy("hdrf"),
         "part_hurl": _greedy("hurl"),
         "part_babh": _greedy("babh"),
