@@ -189,6 +189,9 @@ def queries() -> dict:
         "pagerank": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-4, 10).select("id", F.round("pr", 6).alias("pr")),
         "pagerank_coarse": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-2, 10).select("id", F.round("pr", 6).alias("pr")),
         "pagerank_topk": lambda s, d: algorithms.top(algorithms.pagerank(eg.reverse(_e1d(s, d)), 1e-4, 10).select("id", F.round("pr", 6).alias("pr"))),
+        "pagerank_whole": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-4).select("id", F.round("pr", 6).alias("pr")),
+        "pagerank_coarse_whole": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-2).select("id", F.round("pr", 6).alias("pr")),
+        "pagerank_topk_whole": lambda s, d: algorithms.top(algorithms.pagerank(eg.reverse(_e1d(s, d)), 1e-4).select("id", F.round("pr", 6).alias("pr"))),
         "toy_length": _toy,
         "batch_quality": lambda s, d: ex.batch_quality(eg.batches(_e1(s, d), BATCH).withColumn("part", pt.hash_strategy("EdgePartition2D", PARTS))),
         "part_lookup": lambda s, d: pt.lookup(_e1d(s, d), _placed(s, d).where("src % 3 = 0"), PARTS).select("src", "dst", "part"),

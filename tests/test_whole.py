@@ -28,3 +28,23 @@ def test_components_of_every_edge(spark, sf, edges):
 def test_whole_reads_every_edge(spark, sf, edges):
     assert queries()["batch_id_whole"](spark, sf).count() == len(edges)
     assert queries()["edge_replace_whole"](spark, sf).count() == len(set(edges))
+
+
+def test_pagerank_ends_by_tolerance(spark, sf, edges):
+    pairs = set(edges)
+    out = {}
+    for s, d in pairs:
+        out.setdefault(s, []).append(d)
+    rank = {v: 0.15 for e in pairs for v in e}
+    delta = dict(rank)
+    while any(x > 1e-4 for x in delta.values()):
+        got = {}
+        for s, x in delta.items():
+            if x > 1e-4:
+                for d in out.get(s, ()):
+                    got[d] = got.get(d, 0) + 0.85 * x / len(out[s])
+        delta = got
+        for v, x in got.items():
+            rank[v] += x
+    found = {r.id: r.pr for r in queries()["pagerank_whole"](spark, sf).collect()}
+    assert found == pytest.approx(rank, abs=2e-6)
