@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import home, spread, spread_pair
+from ..sources.edges import with_seq
+from ..sources.storage import materialize
 from .edges import activity, endpoints, running
 
-#: Edges that one greedy state places at most.
+#: Edges or vertices that one task places at most.
 BLOCK = 1_000_000
 
 
@@ -90,42 +93,45 @@ def lookup(edges: DataFrame, placed: DataFrame, parts: int) -> DataFrame:
 
 # Greedy strategies.
 
-def _greedy(kind: str, parts: int, balance: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def place(block: pd.DataFrame) -> pd.DataFrame:
+def _greedy(kind: str, parts: int, balance: float, sizes: list[int]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Places a block, given the vertices held by each part and the earlier parts and counts of the block's vertices."""
+    def place(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("seq")
-        count: dict[int, int] = {}
-        held: list[set[int]] = [set() for _ in range(parts)]
-        where: dict[int, set[int]] = {}
-        neighbours: dict[int, set[int]] = {}
+        held = list(sizes)
+        count: dict[int, int] = dict(zip(known["id"].tolist(), known["count"].tolist()))
+        where: dict[int, set[int]] = {x: set(ps) for x, ps in zip(known["id"].tolist(), known["parts"])}
         chosen = []
-        for src, dst in zip(block["src"].tolist(), block["dst"].tolist()):
+        for src, dst, fresh in zip(block["src"].tolist(), block["dst"].tolist(), block["fresh"].tolist()):
             if kind == "hdrf":
                 # degree so far, plus one
-                d = [len(neighbours.get(x, ())) + 1 for x in (src, dst)]
+                d = [count.get(x, 0) + 1 for x in (src, dst)]
             elif kind == "hurl":
-                d = [count.get(x, 1) + 1 for x in (src, dst)]
+                d = [count.get(x, 0) + 2 for x in (src, dst)]
             else:
                 for x in (src, dst):
                     count[x] = count.get(x, 0) + 1
                 d = [count[x] for x in (src, dst)]
             share = d[0] / (d[0] + d[1])
-            sizes = [len(h) for h in held]
-            most, least = max(sizes), min(sizes)
-            score = [balance * (most - s) / (1 + most - least) for s in sizes]
+            most, least = max(held), min(held)
+            score = [balance * (most - s) / (1 + most - least) for s in held]
             for x, theta in ((src, share), (dst, 1 - share)):
                 bonus = {"hdrf": 1 + (1 - theta), "hurl": 1 + theta, "babh": 1 + (1 + theta)}[kind]
                 for p in where.get(x, ()):
                     score[p] += bonus
             p = max(range(parts), key=lambda k: (score[k], -k))
             chosen.append(p)
-            for x, y in ((src, dst), (dst, src)):
-                held[p].add(x)
-                where.setdefault(x, set()).add(p)
-                if kind == "hdrf":
-                    neighbours.setdefault(x, set()).add(y)
-                elif kind == "hurl":
-                    count[x] = count.get(x, 1) + 1
-        return block.assign(part=pd.Series(chosen, index=block.index, dtype="int32"))[["seq", "src", "dst", "part"]]
+            for x in (src, dst):
+                mine = where.setdefault(x, set())
+                if p not in mine:
+                    mine.add(p)
+                    held[p] += 1
+            if kind == "hurl":
+                for x in (src, dst):
+                    count[x] = count.get(x, 0) + 1
+            elif kind == "hdrf" and fresh:
+                for x in {src, dst}:
+                    count[x] = count.get(x, 0) + 1
+        return block.assign(part=pd.Series(chosen, index=block.index, dtype="int32"))[["seq", "src", "dst", "part", "fresh"]]
 
     return place
 
@@ -134,25 +140,66 @@ def greedy(edges: DataFrame, kind: str, parts: int, balance: float = 1.0, block:
     """seq, src, dst, part by hdrf, hurl or babh scoring in arrival order."""
     if kind not in ("hdrf", "hurl", "babh"):
         raise ValueError(f"unknown strategy {kind}")
-    rows = edges.select("seq", "src", "dst").withColumn("block", F.floor((F.col("seq") - 1) / block))
-    return rows.groupBy("block").applyInPandas(lambda b: _greedy(kind, parts, balance)(b), "seq long, src long, dst long, part int")
+    spark = edges.sparkSession
+    rows = edges.select("seq", "src", "dst", F.floor((F.col("seq") - 1) / block).alias("block"))
+    # hdrf counts distinct neighbours: an edge adds one if it is the first between its ends.
+    pair = Window.partitionBy(F.least("src", "dst"), F.greatest("src", "dst")).orderBy("seq")
+    rows = rows.withColumn("fresh", F.row_number().over(pair) == 1 if kind == "hdrf" else F.lit(True))
+    rows = materialize(spark, rows, "arrivals")
+    state = spark.createDataFrame([], "id long, parts array<int>, count long")
+    ends = F.array("src", "dst")
+    done, sizes = [], [0] * parts
+    # One number for each block.
+    numbers = sorted(r.block for r in rows.select("block").distinct().collect())
+    for k in numbers:
+        now = rows.where(F.col("block") == k)
+        known = state.join(now.select(F.explode(ends).alias("id")).distinct(), "id", "left_semi").withColumn("block", F.lit(k))
+        placed = now.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
+            _greedy(kind, parts, balance, sizes), "seq long, src long, dst long, part int, fresh boolean")
+        placed = materialize(spark, placed, "placed")
+        done.append(placed.select("seq", "src", "dst", "part"))
+        if k == numbers[-1]:
+            break
+        counted = F.array_distinct(ends) if kind == "hdrf" else ends
+        more = placed.where("fresh").select(F.explode(counted).alias("id")).groupBy("id").agg(F.count("*").alias("count"))
+        at = placed.select(F.explode(ends).alias("id"), "part").groupBy("id").agg(F.collect_set("part").alias("parts"))
+        news = at.join(more, "id", "left").select("id", "parts", F.coalesce("count", F.lit(0)).alias("count"))
+        both = state.unionByName(news).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("parts"))).alias("parts"), F.sum("count").alias("count"))
+        state = materialize(spark, both, "vertices")
+        found = dict(state.select(F.explode("parts").alias("part")).groupBy("part").count().collect())
+        sizes = [found.get(p, 0) for p in range(parts)]
+    return reduce(DataFrame.unionByName, done) if done else rows.select("seq", "src", "dst", F.lit(0).alias("part"))
 
 
 def least_load(degrees: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
-    """id, part: vertices in id order, each to the part with the least sum of degree + 1 so far; blocks of
-    ids have loads of their own."""
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        load = [0] * parts
-        chosen = []
-        for d in rows["degree"].tolist():
-            p = min(range(parts), key=lambda k: (load[k], k))
-            load[p] += d + 1
-            chosen.append(p)
-        return rows.assign(part=pd.Series(chosen, index=rows.index, dtype="int32"))[["id", "part"]]
-
-    rows = degrees.select("id", "degree").withColumn("block", F.floor(F.col("id") / block))
-    return rows.groupBy("block").applyInPandas(place, "id long, part int")
+    """id, part: vertices in id order, each to the part with the least sum of degree + 1 so far."""
+    def placer(before: list[int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def place(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("seq")
+            load = list(before)
+            chosen = []
+            for d in rows["degree"].tolist():
+                p = min(range(parts), key=lambda k: (load[k], k))
+                load[p] += d + 1
+                chosen.append(p)
+            return rows.assign(part=pd.Series(chosen, index=rows.index, dtype="int32"))[["id", "part", "degree"]]
+
+        return place
+
+    spark = degrees.sparkSession
+    rows = with_seq(degrees.select("id", "degree"), "id").withColumn("block", F.floor((F.col("seq") - 1) / block))
+    rows = materialize(spark, rows.select("seq", "id", "degree", "block"), "arrivals")
+    done, load = [], [0] * parts
+    numbers = sorted(r.block for r in rows.select("block").distinct().collect())
+    for k in numbers:
+        placed = rows.where(F.col("block") == k).groupBy("block").applyInPandas(placer(load), "id long, part int, degree long")
+        placed = materialize(spark, placed, "placed")
+        done.append(placed.select("id", "part"))
+        if k == numbers[-1]:
+            break
+        added = dict(placed.groupBy("part").agg(F.sum(F.col("degree") + 1)).collect())
+        load = [x + added.get(p, 0) for p, x in enumerate(load)]
+    return reduce(DataFrame.unionByName, done) if done else rows.select("id", F.lit(0).alias("part"))
 
 
 # Quality.
