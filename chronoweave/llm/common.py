@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 WORD_SEPARATORS = "\\x20\\x09-\\x0D"
 
@@ -18,6 +18,9 @@ WORD_SEPARATORS = "\\x20\\x09-\\x0D"
 BATCH_BYTES = "8m"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def bound_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in spark.conf.getAll:
@@ -29,9 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_types(docs: DataFrame, column: str = "doc_id") -> tuple[pa.DataType, str]:
+    """The Arrow and the SQL type of an id column, which may have any type."""
+    kind = docs.schema[column].dataType
+    return to_arrow_type(kind, prefers_large_types=False), kind.simpleString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is
-    unset (local tests) a folder of this process."""
+    unset and the session is local (tests) a folder of this process."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -41,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="chronoweave-")
     context.setCheckpointDir(f"file://{own}")
     atexit.register(__import__("shutil").rmtree, own, True)
@@ -61,12 +72,15 @@ def materialize(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     costs no recomputation. The path is in the frame's ``written_to`` attribute."""
     bound_batches(spark)
     path = new_folder(spark, what)
-    df.write.parquet(path)
+    # What a step shuffled is of no use once its table is written: Spark may delete it then.
+    held = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, held)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_to = path
-    # What the written step shuffled is of no use any more; Spark deletes it once its driver notices.
-    gc.collect()
-    spark._jvm.System.gc()
     return back
 
 

@@ -38,8 +38,49 @@ def test_empty_table_and_bad_overlap(spark):
         bpe.encode_documents(docs, RANKS, P.PATTERN, 100, 60)
 
 
-def test_long_pretokens_use_the_same_merges():
-    enc = bpe.encoding(RANKS, P.PATTERN)
-    for data in ("a" * 6000, "abcd" * 1500, "th" * 2500 + "e"):
-        assert bpe.merge_long(data.encode(), enc._mergeable_ranks) == enc._core_bpe.encode_single_piece(data.encode())
-    assert bpe.encode_piece("x " + "ab" * 200_000, RANKS, P.PATTERN)
+def odd_texts():
+    """Every character that the two libraries class differently, between characters of each class."""
+    odd = list(map(chr, bpe.stand_ins()))
+    assert len(odd) > 10_000
+    random.Random(8).shuffle(odd)
+    parts = []
+    for k, c in enumerate(odd):
+        parts.append(("a%s's ", "1%s2 ", "!%s'll", " %s\n ", "x %s%s", "%s")[k % 6].replace("%s", c))
+    return ["".join(parts), "-" * 1200 + " word" * 800 + " x \u0c5c's end", " " * 20_000 + "".join(parts[:3000]) + "\t" * 12_000]
+
+
+def test_classes_of_characters_are_the_library_s(spark):
+    made = odd_texts()
+    assert any(len(t) > bpe.CHUNK_CHARS for t in made)
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    want = sorted(str((k, *brute(t))) for k, t in enumerate(made))
+    for size, overlap in ((bpe.CHUNK_CHARS, bpe.OVERLAP), (500, 100), (100_000, 2_000)):
+        got = bpe.encode_documents(docs, RANKS, P.PATTERN, size, overlap).collect()
+        assert sorted(str(tuple(r)) for r in got) == want
+
+
+def test_long_white_space_is_split_as_the_library_splits_it(monkeypatch):
+    made = [t for t in texts() if t] + odd_texts()
+    want = [bpe.encoding(RANKS, P.PATTERN).encode_ordinary(t) for t in made]
+    monkeypatch.setattr(bpe, "LONG_SPACE", 1)
+    monkeypatch.setattr(bpe, "_SPACES", bpe.regex.compile(r"\s|."))
+    assert [bpe.encode_piece(t, RANKS, P.PATTERN) for t in made] == want
+    monkeypatch.undo()
+    ids = bpe.encode_piece("a" + " " * 2_000_000 + "b", RANKS, P.PATTERN)
+    assert bpe.encoding(RANKS, P.PATTERN).decode(ids) == "a" + " " * 2_000_000 + "b"
+
+
+def test_query_equals_the_library(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = bpe.op1_bpe(spark, sf).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str((r.doc_id, *brute(r.text))) for r in docs)
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "x"), (None, "y " * 100)], "doc_id string, text string")
+    assert {r.doc_id for r in bpe.encode_documents(docs, RANKS, P.PATTERN, 64, 16).collect()} == {"a", None}
+
+
+def test_patterns_with_other_classes_are_refused():
+    with pytest.raises(ValueError):
+        bpe.compiled(r"\p{Lu}+|\d")
