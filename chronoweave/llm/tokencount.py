@@ -1,44 +1,258 @@
 """Token counts by a compiled finite-state transducer.
 
-The tokenizer file is compiled into a deterministic transducer. Its states are those of the
-pre-tokeniser; its arcs carry whole pre-tokens (paths of characters, compressed) and the number of
-tokens that the merges make of them. An arc is compiled when a text first takes it, with the file's own
-model, and kept in a table of at most ``MAX_ARCS`` arcs; a full table is emptied and compiled anew. No
-ids are made to count a text: its count is the sum of the arcs on its path.
-
-A chunk of a text is a map of states: white space resets the machine, so whatever state a chunk is
-entered in, after its first white space it is the same. A chunk's map is thus (head, count, tail): the
-characters before the reset, which go on with the state it is entered in, the count of what lies
-between, and the characters that set its exit state. Maps compose associatively: the earlier tail and
-the later head together are a path of their own, and a chunk without white space only lengthens it.
-Texts of over ``chunk_chars`` are cut into chunks that run in parallel; a prefix scan over the chunks
-of a text composes their maps, and the counts of the joined paths are added.
-
-Characters that the compiled classes and the file's own pre-tokeniser see differently (Unicode versions)
-are found by probing each new character; texts with one are counted by the library itself.
+The tokenizer file is compiled into a deterministic transducer over characters whose arcs carry the number of
+tokens that they emit. It does what the pre-tokeniser and the merges do together:
+
+* Merges. A sequence of tokens is what the merges make of a word exactly if each two neighbours are what the
+  merges make of the two together. So a word's bytes are spelled along a trie of the tokens, and a machine
+  state is the set of ways to be on it: (place in the trie, token before, tokens so far). Ways that end a
+  token which its predecessor does not tolerate die, and a way forgets its token before once every token that it
+  can still become is tolerated, so that states merge. The number that all ways share is emitted on the arc, so
+  the sets are finite. A word's last byte is a symbol of its own (the file's end-of-word suffix), which is
+  why the machine holds one byte back until it knows whether the word goes on.
+* Pre-tokeniser. Its literals (contractions, special strings) are states of their own where a match may begin;
+  a literal that fails is taken again as characters. Runs of letters or of other characters go on in one
+  state; a digit is a word; white space ends a word.
+
+States are subsets, so the machine is determinised while it is used: an arc is compiled when a text first takes
+it and is one table look-up from then on. Of ``MAX_ARCS`` compiled arcs a worker forgets all and goes on; no count
+depends on that. No ids are made to count a text. Characters have the classes that the file's own pre-tokeniser
+gives them, and texts beyond ASCII pass the file's own normaliser before they reach the machine.
+
+A chunk of a text is a map from the state it is entered in to the state it is left in and the tokens it emits.
+White space sends every state to the first one, so the map of a chunk with white space is the same for all
+entry states but for what is before the first: (characters up to there, tokens after it, exit state). Maps
+compose associatively. Texts of over ``chunk_chars`` are cut into chunks whose maps are made in parallel; a prefix
+scan over a text's chunks finds for each the state it is entered in (that of the last chunk before it with
+white space, and the characters since), and the characters before its first white space are run from there.
 
 Cases: a null text counts as empty with 0 tokens; the special strings count as one token each, as the
-library has it; repeated rows each give a row; a null doc_id is carried through; an empty table gives
-no rows; columns other than the id and the text are not read.
+library has it; repeated rows each give a row; a null doc_id is carried through, and ids of any type keep it;
+an empty table gives no rows; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import unicodedata
+import pickle
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, id_types
 
 CHUNK_CHARS = 32_768
-MAX_ARCS = 300_000
-GROUP = 64
+MAX_ARCS = 400_000
+#: A trie node with more tokens below keeps the token before it in the state.
+FEW_BELOW = 64
+#: A lane's characters, the steps that are fetched at a time, and how few lanes are read one by one.
+LANE, BLOCK, FEW = 1_024, 32, 16
+#: Stands for a special token. Normalised texts are lower case, so none has it.
+SPECIAL = "A"
+#: Added to a plain byte, the symbol of a byte that ends a word.
+FINAL = 256
+_RESET = regex.compile(r"[ A\t\n\r]")
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: bytes that show as characters
+    stand for themselves, the others have the characters from 256 on, in order."""
+    shown = [b for b in range(256) if b != 32 and chr(b).isprintable()]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+class Merges:
+    """The tokens as symbols, the trie of them, and the merges."""
+
+    def __init__(self, model: dict, added: set[str]):
+        if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or not model.get("end_of_word_suffix"):
+            raise ValueError("only byte-level merges with an end-of-word suffix can be compiled")
+        suffix, alphabet = model["end_of_word_suffix"], byte_alphabet()
+        number: dict[str, int] = {}
+        self.symbols: list[tuple[int, ...]] = []
+
+        def token(text: str) -> int:
+            if text not in number:
+                body = text.removesuffix(suffix)
+                spelled = [alphabet[c] for c in body]
+                if body != text:
+                    spelled[-1] += FINAL
+                number[text] = len(number)
+                self.symbols.append(tuple(spelled))
+            return number[text]
+
+        for c in alphabet:
+            for text in (c, c + suffix):
+                if text not in model["vocab"]:
+                    raise ValueError(f"the vocabulary lacks {text!r}")
+                token(text)
+        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        #: The two tokens that a merge makes a token of, and the merge's rank; tokens of one byte have none.
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = map(token, pair.split(" ") if isinstance(pair, str) else pair)
+            if any(x in self.made and self.made[x][2] >= rank for x in (a, b)):
+                raise ValueError("a merge takes a token that only a later one makes")
+            made = token("".join(pair.split(" ") if isinstance(pair, str) else pair))
+            self.ranks[a, b] = (rank, made)
+            if made in self.made:
+                raise ValueError("two merges make the same token")
+            self.made[made] = (a, b, rank)
+        self.children: list[dict[int, int]] = [{}]
+        self.ends: list[int] = [-1]
+        for t, spelled in enumerate(self.symbols):
+            node = 0
+            for s in spelled:
+                if s not in self.children[node]:
+                    self.children[node][s] = len(self.children)
+                    self.children.append({})
+                    self.ends.append(-1)
+                node = self.children[node][s]
+            self.ends[node] = t
+        #: The tokens further down from each node of the trie, where they are few.
+        self.below: list[list[int] | None] = [[] for _ in self.ends]
+        for node in range(len(self.ends) - 1, -1, -1):
+            found: list[int] | None = []
+            for child in self.children[node].values():
+                more = self.below[child]
+                found = None if found is None or more is None else found + more + ([self.ends[child]] if self.ends[child] >= 0 else [])
+                if found is None or len(found) > FEW_BELOW:
+                    found = None
+                    break
+            self.below[node] = found
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.settled: dict[tuple[int, int], int | None] = {}
+
+    def settle(self, node: int, before: int) -> int | None:
+        """What the way (node, before) still has to know: nothing (-1) where every token further down may stand
+        after ``before``, the token itself where some may, and None where the way is dead."""
+        if before < 0 or self.below[node] is None:
+            return before
+        found = self.settled.get((node, before), before)
+        if (node, before) not in self.settled:
+            fits = [self.tolerates(before, t) for t in self.below[node]]
+            found = self.settled[node, before] = -1 if all(fits) else before if any(fits) else None
+        return found
+
+    def edge(self, t: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at a token's end (side 1) or start (side 0) while it is made, last first, and
+        the rank of the merge that takes each up."""
+        found = self.edges[side].get(t)
+        if found is None:
+            found, until, part = [], len(self.ranks), t
+            while True:
+                found.append((part, until))
+                if part not in self.made:
+                    break
+                until = self.made[part][2]
+                part = self.made[part][side]
+            self.edges[side][t] = found
+        return found
+
+    def tolerates(self, a: int, b: int) -> bool:
+        """The merges leave these two tokens side by side: no merge across their border comes before one of
+        the two merges that take its parts up on either side. Among equal ranks the leftmost comes first."""
+        ranks, left = self.ranks, self.edge(a, 1)
+        for y, above in self.edge(b, 0):
+            for x, below in left:
+                rank = ranks.get((x, y))
+                if rank is not None and rank[0] < below and rank[0] <= above:
+                    return False
+        return True
+
+    def advance(self, ways: tuple, symbol: int) -> tuple[tuple, int]:
+        """The ways after one more symbol, deepest first, and the tokens that all of them have more."""
+        out, whole, children = [], [], self.children
+        for node, before, n in ways:
+            at = children[node].get(symbol)
+            if at is None:
+                continue
+            if children[at] and (needs := self.settle(at, before)) is not None:
+                out.append((at, needs, n))
+            t = self.ends[at]
+            if t >= 0 and (before < 0 or self.tolerates(before, t)):
+                whole.append((0, t, n + 1))
+        if len(whole) != 1:
+            raise ValueError("the merges do not split a word in exactly one way")
+        out += whole
+        low = min(n for _, _, n in out)
+        return tuple([(node, before, n - low) for node, before, n in out] if low else out), low
+
+    def finish(self, ways: tuple, byte: int) -> int:
+        """The tokens still to come when this byte ends the word."""
+        ways, n = self.advance(ways, byte + FINAL)
+        return n + next(k for node, _, k in ways if node == 0)
+
+
+#: Before a word's first symbol: at the root, after no token.
+BEGIN = ((0, -1, 0),)
+
+
+class State(dict):
+    """Character -> (next state, tokens emitted); missing arcs are compiled.
+
+    ``key`` is (kind, text, held byte, ways): kind is "" between words, "L" or "P" in a run of letters or of
+    other characters, "=" while a literal that may be complete soon is read, which ``text`` is."""
+
+    __slots__ = ("machine", "key", "number")
+
+    def __init__(self, machine: Transducer, key: tuple, number: int):
+        super().__init__()
+        self.machine, self.key, self.number = machine, key, number
+
+    def __missing__(self, char: str) -> tuple[State, int]:
+        arc = self.machine.arc(self, char)
+        self[char] = arc
+        return arc
+
+
+class Arcs:
+    """The compiled arcs as an open-addressing table of (state, character), for many texts in step.
+
+    A cell is a key, or -1, and the next state's number above the number of tokens emitted."""
+
+    def __init__(self):
+        self.clear(1 << 16)
+
+    def clear(self, size: int) -> None:
+        self.shift, self.used = np.uint64(65 - size.bit_length()), 0
+        self.keys, self.targets = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+
+    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key is, or the empty slot where it would be, and what stands there."""
+        at = ((keys.view(np.uint64) * _MULTIPLIER) >> self.shift).view(np.int64)
+        there = self.keys.take(at)
+        off = np.flatnonzero(there != keys)
+        while len(off := off[there[off] >= 0]):
+            at[off] = (at[off] + 1) & (len(self.keys) - 1)
+            there[off] = self.keys.take(at[off])
+            off = off[there[off] != keys[off]]
+        return at, there
+
+    def put(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        """Add different keys that are not there."""
+        if 3 * (self.used + len(keys)) >= len(self.keys):
+            held = self.keys >= 0
+            keys, targets = np.concatenate([self.keys[held], keys]), np.concatenate([self.targets[held], targets])
+            self.clear(1 << int(4 * len(keys)).bit_length())
+        self.used += len(keys)
+        while len(keys):
+            at, _ = self.slots(keys)
+            # Several keys may want one empty slot: the first gets it.
+            _, mine = np.unique(at, return_index=True)
+            self.keys[at[mine]], self.targets[at[mine]] = keys[mine], targets[mine]
+            left = np.ones(len(keys), bool)
+            left[mine] = False
+            keys, targets = keys[left], targets[left]
+
+
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Transducer:
@@ -48,87 +262,186 @@ class Transducer:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
         split, byte_level = spec["pre_tokenizer"]["pretokenizers"]
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        if kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"] or byte_level["use_regex"]:
+        if kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"] or byte_level["use_regex"] or byte_level["add_prefix_space"]:
             raise ValueError("only NFC, white space, lower case and an inverted split can be compiled")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
-        special = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.special_mark = special[0][:2] if special else None
-        model = spec | {"normalizer": None, "pre_tokenizer": byte_level, "added_tokens": [], "post_processor": None}
-        self.model = Tokenizer.from_str(json.dumps(model))
-        self.arcs: dict[str, int] = {}
-        self.known: set[str] = set(map(chr, range(32, 127))) | {"\n", "\t", "\r"}
-        self.odd: set[str] = set()
-
-    def probe(self, chars: set[str]) -> None:
-        """Sort new characters into those that both sides see alike and the odd ones."""
-        for c in chars:
-            agrees = self.normal(c) == self.whole.normalizer.normalize_str(c)
-            for text in (c, c + c, f"a{c}a", f"1{c}1", f"!{c}!"):
-                text = self.normal(text)
-                pieces = [text[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(text)]
-                agrees = agrees and pieces == self.pattern.findall(text)
-            (self.known if agrees else self.odd).add(c)
-
-    @staticmethod
-    def normal(text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        # Character by character: a capital sigma has one lower case, wherever it stands.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
-    def paths(self, text: str) -> list[str]:
-        return self.pattern.findall(self.normal(text))
-
-    def compile(self, paths) -> None:
-        new = [p for p in set().union(*paths) if p not in self.arcs]
-        if len(self.arcs) + len(new) > MAX_ARCS:
-            self.arcs.clear()
-            new = list(set().union(*paths))
-        if new:
-            made = self.model.encode_batch_fast(new, add_special_tokens=False)
-            self.arcs.update(zip(new, (len(e.ids) for e in made)))
+        parts = regex.split(r"(?<!\\)\|", split["pattern"]["Regex"])
+        classes = [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
+        if parts[-3:] != classes:
+            raise ValueError("only runs of letters, single digits and runs of other characters can be compiled")
+        self.literals = {regex.sub(r"\\(.)", r"\1", p) for p in parts[:-3]}
+        self.openings = {p[:k] for p in self.literals for k in range(1, len(p))}
+        added = spec["added_tokens"]
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError("only added tokens that stand for their plain strings can be compiled")
+        special = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.merges = Merges(spec["model"], set(special))
+        self.kinds: dict[str, str] = {}
+        self.states: dict[tuple, State] = {}
+        self.numbered: list[State] = []
+        self.compiled = 0
+        self.arcs = Arcs()
+        self.start = self.state(("", "", -1, BEGIN))
+
+    def kind(self, char: str) -> str:
+        """The class that the file's pre-tokeniser gives a character: L, N, P, or " "."""
+        found = self.kinds.get(char)
+        if found is None:
+            spans = lambda text: [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(text)]
+            if spans(f"a{char}a") == [(0, 3)]:
+                found = "L"
+            elif spans(f"!{char}!") == [(0, 3)]:
+                found = "P"
+            else:
+                found = "N" if (1, 2) in spans(f"a{char}a") else " "
+            self.kinds[char] = found
+        return found
+
+    def state(self, key: tuple) -> State:
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, key, len(self.numbered))
+            self.numbered.append(found)
+        return found
+
+    def word(self, text: str) -> int:
+        """The tokens of a whole word."""
+        *body, last = text.encode("utf-8", "replace")
+        ways, total = BEGIN, 0
+        for b in body:
+            ways, n = self.merges.advance(ways, b)
+            total += n
+        return total + self.merges.finish(ways, last)
+
+    def feed(self, key: tuple, char: str) -> tuple[tuple, int]:
+        """One more character of a word."""
+        kind, _, held, ways = key
+        total = 0
+        for b in char.encode("utf-8", "replace"):
+            if held >= 0:
+                ways, n = self.merges.advance(ways, held)
+                total += n
+            held = b
+        return (kind, "", held, ways), total
+
+    def arc(self, state: State, char: str) -> tuple[State, int]:
+        self.compiled += 1
+        kind, text, held, ways = state.key
+        if kind == "=":
+            if text + char in self.literals:
+                return self.start, self.word(text + char)
+            if text + char in self.openings:
+                return self.state(("=", text + char, -1, BEGIN)), 0
+            # No literal after all: its first character begins a word by its class, the others follow.
+            at, total = self.begin(text[0], literal=False)
+            for c in text[1:] + char:
+                at, n = at[c]
+                total += n
+            return at, total
+        if char == SPECIAL:
+            return self.start, 1 + (self.merges.finish(ways, held) if kind else 0)
+        found = self.kind(char)
+        if found == kind:
+            key, n = self.feed(state.key, char)
+            return self.state(key), n
+        closed = self.merges.finish(ways, held) if kind else 0
+        if found == " ":
+            return self.start, closed
+        at, n = self.begin(char)
+        return at, closed + n
+
+    def begin(self, char: str, literal: bool = True) -> tuple[State, int]:
+        """Where a match begins."""
+        if literal and char in self.openings:
+            return self.state(("=", char, -1, BEGIN)), 0
+        kind = self.kind(char)
+        if kind == "N":
+            return self.start, self.word(char)
+        key, n = self.feed((kind, "", -1, BEGIN), char)
+        return self.state(key), n
+
+    def forget(self) -> None:
+        """Start again with the first state alone."""
+        for s in self.numbered:
+            s.clear()
+        self.states, self.numbered = {self.start.key: self.start}, [self.start]
+        self.arcs.clear(1 << 16)
+        self.merges.settled.clear()
+        self.compiled = 0
+
+    def normal(self, text: str) -> str:
+        """The characters that the machine reads for a whole text; the space at the end ends its last word."""
+        parts = self.special.split(text) if self.special else [text]
+        return SPECIAL.join(p.lower() if p.isascii() else self.library.normalizer.normalize_str(p) for p in parts) + " "
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        total = 0
+        for char in text:
+            state, n = state[char]
+            total += n
+        return state, total
 
     def counts(self, texts: list[str]) -> list[int]:
-        out: list[int] = []
-        for at in range(0, len(texts), GROUP):
-            out += self._counts(texts[at : at + GROUP])
-        return out
-
-    def _counts(self, texts: list[str]) -> list[int]:
-        seen = set("".join(texts))
-        self.probe(seen - self.known - self.odd)
-        odd = seen & self.odd
-        paths, added = [], []
-        for text in texts:
-            if odd and not odd.isdisjoint(text):
-                paths.append(())
-                added.append(len(self.whole.encode(text, add_special_tokens=False).ids))
-            elif self.special and self.special_mark in text:
-                parts = self.special.split(text)
-                paths.append([p for part in parts for p in self.paths(part)])
-                added.append(len(parts) - 1)
-            else:
-                paths.append(self.paths(text))
-                added.append(0)
-        self.compile(paths)
-        arc = self.arcs.__getitem__
-        return [n + sum(map(arc, p)) for n, p in zip(added, paths)]
-
-    def chunk_map(self, text: str) -> tuple[str, str | None, str | None]:
-        """head, middle, tail of a chunk; a chunk without white space is all head."""
-        spaces = [m.start() for m in (_SPACE.search(text), _LAST_SPACE.search(text)) if m]
-        if not spaces:
+        """The tokens of whole texts, all of which the machine reads in step.
+
+        A text is a lane, or several that are cut where white space resets the machine; a step takes one
+        character of every lane. What few lanes have left is read lane by lane."""
+        if not texts:
+            return []
+        if self.compiled > MAX_ARCS:
+            self.forget()
+        made = [self.normal(t) for t in texts]
+        line = "".join(made)
+        codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
+        ends = np.cumsum([0, *map(len, made)])
+        resets = np.flatnonzero((codes == 32) | (codes == ord(SPECIAL))) + 1
+        cuts = resets[np.searchsorted(resets, np.arange(LANE, len(codes), LANE))]
+        first = np.unique(np.concatenate([ends[:-1], cuts[cuts < len(codes)]]))
+        size = np.diff(np.append(first, len(codes)))
+        order = np.argsort(-size, kind="stable")
+        first, size = first[order], size[order]
+        state, total = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        step, live = 0, len(first)
+        while live >= FEW:
+            ahead = codes.take(first[:live, None] + np.arange(step, step + BLOCK), mode="clip").T.copy()
+            for k in range(min(BLOCK, int(size[0]) - step)):
+                live = int(np.searchsorted(-size, -step, "left"))
+                if live < FEW:
+                    break
+                keys = state[:live] << 21 | ahead[k, :live]
+                slots, there = self.arcs.slots(keys)
+                if there.min() < 0:
+                    new = np.unique(keys[there < 0])
+                    arcs = [self.arc(self.numbered[key >> 21], chr(key & 0x1FFFFF)) for key in new.tolist()]
+                    self.arcs.put(new, np.array([t.number << 24 | n for t, n in arcs], np.int64))
+                    slots, _ = self.arcs.slots(keys)
+                found = self.arcs.targets.take(slots)
+                state[:live] = found >> 24
+                total[:live] += found & 0xFFFFFF
+                step += 1
+            live = int(np.searchsorted(-size, -step, "left"))
+        for lane in range(live):
+            begin, end = int(first[lane]), int(first[lane] + size[lane])
+            total[lane] += self.run(self.numbered[state[lane]], line[begin + step : end])[1]
+        return np.bincount(np.searchsorted(ends, first, "right") - 1, total, len(texts)).astype(np.int64).tolist()
+
+    def chunk_map(self, text: str) -> tuple[str, int | None, bytes | None]:
+        """Of a chunk of a normalised text: the characters up to the first reset, the tokens from there on, and the
+        exit state. Without a reset all characters come first, and there is neither count nor state."""
+        if self.compiled > MAX_ARCS:
+            self.forget()
+        first = _RESET.search(text)
+        if first is None:
             return text, None, None
-        first, last = spaces
-        return text[: first + 1], text[first + 1 : last + 1], text[last + 1 :]
-
+        state, n = self.run(self.start, text[first.end() :])
+        return text[: first.end()], n, pickle.dumps(state.key)
 
-_SPACE = regex.compile(r"[ \t\n\r]")
-_LAST_SPACE = regex.compile(r"(?r)[ \t\n\r]")
+    def resume(self, entry: bytes | None, text: str) -> int:
+        """The tokens of some characters from an entry state on."""
+        return self.run(self.state(pickle.loads(entry)) if entry else self.start, text)[1]
 
 
 @lru_cache(maxsize=2)
@@ -138,62 +451,63 @@ def transducer(path: str) -> Transducer:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    arrow_id, sql_id = id_types(docs)
+    out = pa.schema([("doc_id", arrow_id), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def whole(batches):
         machine = transducer(path)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            yield batch(out, doc_id=b.column("doc_id"), n_bytes=b.column("n_bytes"), n_tokens=machine.counts(texts))
+            counts = machine.counts(b.column("text").to_pylist())
+            yield batch(out, doc_id=b.column("doc_id"), n_bytes=b.column("n_bytes"), n_tokens=counts)
 
     short = docs.where(F.length("text") <= chunk_chars).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    short = short.mapInArrow(whole, "doc_id long, n_bytes long, n_tokens long")
+    short = short.mapInArrow(whole, f"doc_id {sql_id}, n_bytes long, n_tokens long")
 
     keys = ["doc_id", "digest", "n_bytes", "copies"]
     long = docs.where(F.length("text") > chunk_chars).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
     long = long.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), "copies", "text")
-    ddl = "doc_id long, digest string, n_bytes long, copies long, chunk long, text string"
-    cut = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("copies", pa.int64()), ("chunk", pa.int64()), ("text", pa.string())])
+    ddl = f"doc_id {sql_id}, digest string, n_bytes long, copies long"
+    own = [("doc_id", arrow_id), ("digest", pa.string()), ("n_bytes", pa.int64()), ("copies", pa.int64())]
+    cut = pa.schema([*own, ("chunk", pa.int64()), ("text", pa.string())])
 
     def chunks(batches):
+        machine = transducer(path)
         for b in batches:
             for *key, text in zip(*(b.column(c).to_pylist() for c in [*keys, "text"])):
+                text = machine.normal(text)
                 starts = range(0, len(text), chunk_chars)
                 yield batch(cut, **{k: [v] * len(starts) for k, v in zip(keys, key)}, chunk=range(len(starts)), text=[text[s : s + chunk_chars] for s in starts])
 
-    rows = long.mapInArrow(chunks, ddl).repartition("doc_id", "digest", "chunk")
-    mapped = pa.schema([*cut][:-1] + [("head", pa.string()), ("count", pa.int64()), ("tail", pa.string())])
+    rows = long.mapInArrow(chunks, f"{ddl}, chunk long, text string").repartition("doc_id", "digest", "chunk")
+    mapped = pa.schema([*own, ("chunk", pa.int64()), ("head", pa.string()), ("count", pa.int64()), ("exit", pa.binary())])
 
     def maps(batches):
         machine = transducer(path)
         for b in batches:
-            parts = [machine.chunk_map(t) for t in b.column("text").to_pylist()]
-            counts = machine.counts([m or "" for _, m, _ in parts])
-            yield batch(
-                mapped, **{c: b.column(c) for c in [*keys, "chunk"]}, head=[h for h, _, _ in parts],
-                count=[None if m is None else n for (_, m, _), n in zip(parts, counts)], tail=[t for _, _, t in parts],
-            )
-
-    rows = rows.mapInArrow(maps, "doc_id long, digest string, n_bytes long, copies long, chunk long, head string, count long, tail string")
-    # The scan: the number of resets before a chunk names the path that its head goes on with.
+            head, count, exit_state = zip(*map(machine.chunk_map, b.column("text").to_pylist())) if b.num_rows else ((), (), ())
+            yield batch(mapped, **{c: b.column(c) for c in [*keys, "chunk"]}, head=head, count=count, exit=exit_state)
+
+    rows = rows.mapInArrow(maps, f"{ddl}, chunk long, head string, count long, exit binary")
+    # The scan: the number of resets before a chunk names the path that its head goes on with; the path's entry
+    # state is the exit state of the chunk with that reset.
     before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("path", F.coalesce(F.count("count").over(before), F.lit(0)))
-    parts = rows.select(*keys, "chunk", F.coalesce("count", F.lit(0)).alias("count"), F.inline(F.array(
-        F.struct(F.col("path"), F.col("head").alias("text"), F.lit(0).alias("side")),
-        F.struct((F.col("path") + 1).alias("path"), F.coalesce("tail", F.lit("")).alias("text"), F.lit(1).alias("side")),
+    parts = rows.select(*keys, "chunk", F.inline(F.array(
+        F.struct(F.col("path"), F.col("head").alias("text"), F.lit(None).cast("binary").alias("entry"), F.coalesce("count", F.lit(0)).alias("count")),
+        F.struct((F.col("path") + 1).alias("path"), F.lit("").alias("text"), F.col("exit").alias("entry"), F.lit(0).cast("long").alias("count")),
     )))
     parts = parts.groupBy(*keys, "path").agg(
-        F.expr("listagg(text, '') within group (order by chunk * 2 + side)").alias("text"), F.sum(F.when(F.col("side") == 0, F.col("count"))).alias("count"))
-    joined = pa.schema([*cut][:-2] + [("n", pa.int64())])
+        F.expr("listagg(text, '') within group (order by chunk)").alias("text"), F.max("entry").alias("entry"), F.sum("count").alias("count"))
+    joined = pa.schema([*own, ("n", pa.int64())])
 
     def paths(batches):
         machine = transducer(path)
         for b in batches:
-            counts = machine.counts([t or "" for t in b.column("text").to_pylist()])
-            yield batch(joined, **{c: b.column(c) for c in keys}, n=[n + (c or 0) for n, c in zip(counts, b.column("count").to_pylist())])
+            counts = [n + machine.resume(e, t or "") for n, e, t in zip(*(b.column(c).to_pylist() for c in ("count", "entry", "text")))]
+            yield batch(joined, **{c: b.column(c) for c in keys}, n=counts)
 
-    total = parts.mapInArrow(paths, "doc_id long, digest string, n_bytes long, copies long, n long").groupBy(*keys).agg(F.sum("n").alias("n_tokens"))
+    total = parts.mapInArrow(paths, f"{ddl}, n long").groupBy(*keys).agg(F.sum("n").alias("n_tokens"))
     total = total.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select("doc_id", "n_bytes", "n_tokens")
     return short.unionByName(total).withColumn("over_limit", F.col("n_tokens") > limit)
 

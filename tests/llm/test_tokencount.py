@@ -35,4 +35,49 @@ def test_full_table_is_compiled_anew(monkeypatch):
     tok = Tokenizer.from_file(PATH)
     machine = tc.Transducer(PATH)
     many = [f"word{k} another{k} thing" for k in range(300)]
-    assert machine.counts(many) == [len(tok.encode(t, add_special_tokens=False).ids) for t in many]
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in many]
+    assert sum((machine.counts(many[k : k + 40]) for k in range(0, 300, 40)), []) == want
+    assert [machine.run(machine.start, machine.normal(t))[1] for t in many] == want
+
+
+def test_neighbours_that_the_merges_leave_alone():
+    merges = tc.transducer(PATH).merges
+    rng = random.Random(3)
+
+    def merged(symbols):
+        word = [merges.symbols.index((s,)) for s in symbols]
+        while pairs := [(merges.ranks[p], k) for k, p in enumerate(zip(word, word[1:])) if p in merges.ranks]:
+            (_, made), k = min(pairs, key=lambda x: (x[0][0], x[1]))
+            word[k : k + 2] = [made]
+        return word
+
+    plain = [t for t, s in enumerate(merges.symbols) if s[-1] < tc.FINAL]
+    for few in (len(plain), 600):
+        for _ in range(1500):
+            a, b = rng.choice(plain[:few]), rng.randrange(few)
+            assert merges.tolerates(a, b) == (merged(merges.symbols[a] + merges.symbols[b]) == [a, b])
+
+
+def test_states_compose_over_any_cut():
+    machine = tc.transducer(PATH)
+    rng = random.Random(6)
+    for text in texts()[1:60]:
+        line = machine.normal(text)
+        want = machine.run(machine.start, line)[1]
+        cut = sorted(rng.randint(0, len(line)) for _ in range(3))
+        state, total = machine.start, 0
+        for a, b in zip([0, *cut], [*cut, len(line)]):
+            state, n = machine.run(state, line[a:b])
+            total += n
+        assert total == want and state is machine.start
+        head, n, exit_state = machine.chunk_map(line[: cut[1]])
+        if exit_state is not None:
+            assert machine.resume(None, head) + n + machine.resume(exit_state, line[cut[1] :]) == want
+
+
+def test_query_equals_the_library(spark, sf):
+    tok = Tokenizer.from_file(PATH)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = sorted(tuple(r) for r in tc.op6_tokens(spark, sf).collect())
+    want = [(r.doc_id, len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in docs]
+    assert got == sorted((i, b, n, n > 2048) for i, b, n in want)
