@@ -1,21 +1,25 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
 Only the first ``depth`` bytes of a suffix matter, so a suffix is a window of that many bytes, and the
-windows that stand in equal groups after the last digit are exactly the repeated ones. The sort goes
-from the most significant digit down and leaves a window as soon as its group is decided:
-
-1. The first digit is the window's minimiser: among its grams of ``GRAM`` bytes the one with the least
-   hash, the leftmost of equals. It depends on the window alone, so equal windows agree on it. Neighbouring
-   windows mostly share it, so they travel together as one run: (gram, hash of the run's bytes, place).
-   A gram with one run in the whole table holds no repeated window.
-2. The second digit is the run's content. If all runs of a gram have equal bytes, all their windows are
-   repeated.
-3. The last digit is the window itself, needed only for grams whose runs differ, once for each
-   different content. Grams with up to ``hot`` contents are sorted group by group within a task; those
-   with more are dealt out by window, so that no group grows without bound.
-
-What comes out are byte ranges per distinct text; texts are cut once, and rows take their text's result.
-Hashes of 64 bits name texts and contents; windows are named by gram and window hash, 128 bits together.
+windows that stand in equal groups after the last digit are exactly the repeated ones.
+
+1. Dealing. A row for each suffix would be a row for each byte, so suffixes travel in runs: neighbouring windows
+   that share their minimiser (of the window's grams of ``GRAM`` bytes the one with the least hash, the leftmost
+   of equals). It depends on the window alone, so equal windows have it at the same place. A run is dealt by its
+   gram's hash, with a digest of its bytes. A gram with one run in the whole table holds no repeated window; where
+   all runs of a gram have equal bytes, all their windows are repeated; both leave here.
+2. Sorting. Each different content of the other grams is fetched once, with the number of its copies. The
+   sort reads a window from its minimiser: the gram, then on to the right one byte a pass, most significant
+   digit first, and from the gram to the left likewise. A pass splits every group by the next byte; a string
+   that is alone in its group leaves. A window that begins o bytes before the gram ends after depth - o bytes
+   on the right, so its group is that of its right string after depth - o digits and of its left string after
+   o digits. One pass thus moves on all windows of all contents that need the byte, and equal groups have equal
+   bytes, compared one by one.
+3. Grams with more than ``hot`` contents are not sorted in one task: their windows are dealt out one by one, by
+   128-bit digests of their bytes, so that no group grows without bound.
+
+What comes out are byte ranges per distinct text; texts are cut once, and rows take their text's result. Texts, and
+contents within a text's gram, are named by 128 bits of hashes of their bytes.
 
 Cases: a null text counts as empty; texts under ``depth`` bytes lose nothing; repeated rows are each
 other's repetition; a null doc_id is carried through; an empty table gives no rows; ``removed_spans``
@@ -29,7 +33,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, materialize, release
@@ -37,6 +41,8 @@ from .common import batch, materialize, release
 DEPTH = 200
 GRAM = 40
 HOT = 4_000
+#: Contents that are sorted together, whole groups at a time.
+SORTED = 8_192
 _BITS = 20
 BUFFER = 1 << _BITS
 _TABLE = np.random.default_rng(20_240_607).integers(0, 2**64, 256, np.uint64)
@@ -72,7 +78,8 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(pieces: list[bytes], depth: int, gram: int) -> tuple[np.ndarray, ...] | None:
-    """(piece, gram hash, content hash, start, windows) of each run; starts count from the piece's start."""
+    """(piece, gram hash, content hash, start, windows, anchor) of each run; starts count from the piece's start,
+    and the anchor is where the minimiser stands in the run."""
     data = b"".join(pieces)
     if len(data) < depth:
         return None
@@ -92,11 +99,13 @@ def runs(pieces: list[bytes], depth: int, gram: int) -> tuple[np.ndarray, ...] |
     view = memoryview(data)
     spans = zip(start.tolist(), (start + count - 1 + depth).tolist())
     content = np.fromiter((xxhash.xxh3_64_intdigest(view[s:e]) for s, e in spans), np.uint64, len(start))
-    return piece[new], g[at[new]].view(np.int64), content.view(np.int64), start - (ends - sizes)[piece[new]], count
+    return piece[new], g[at[new]].view(np.int64), content.view(np.int64), start - (ends - sizes)[piece[new]], count, at[new] - start
 
 
-def text_key():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def text_key() -> list[Column]:
+    """The 128 bits that name a text, as two columns."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("i")]
 
 
 def encoded(text: str | None) -> bytes:
@@ -104,33 +113,32 @@ def encoded(text: str | None) -> bytes:
 
 
 def all_runs(docs: DataFrame, depth: int, gram: int) -> DataFrame:
-    """gram, content, h (the text), start, windows."""
-    schema = pa.schema([("gram", pa.int64()), ("content", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("windows", pa.int32())])
+    """gram, content, h and i (the text), start, windows, anchor."""
+    schema = pa.schema([("gram", pa.int64()), ("content", pa.int64()), ("h", pa.int64()), ("i", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int32())])
     step = BUFFER - depth + 1
 
     def flush(held):
-        found = runs([p for p, _, _ in held], depth, gram)
+        found = runs([p for p, *_ in held], depth, gram)
         if found is not None:
-            piece, g, content, start, count = found
-            h = np.array([h for _, h, _ in held], np.int64)
-            offset = np.array([o for _, _, o in held], np.int64)
-            yield batch(schema, gram=g, content=content, h=h[piece], start=start + offset[piece], windows=count.astype(np.int32))
+            piece, g, content, start, count, anchor = found
+            h, i, offset = (np.array(x, np.int64)[piece] for x in list(zip(*held))[1:])
+            yield batch(schema, gram=g, content=content, h=h, i=i, start=start + offset, windows=count.astype(np.int32), anchor=anchor.astype(np.int32))
 
     def find(batches):
         held, size = [], 0
         for b in batches:
-            for h, text in zip(b.column("h").to_pylist(), b.column("text")):
+            for h, i, text in zip(b.column("h").to_pylist(), b.column("i").to_pylist(), b.column("text")):
                 data = encoded(text.as_py())
                 for at in range(0, max(len(data) - depth + 1, 0), step):
                     piece = data[at : at + BUFFER]
                     if size + len(piece) > BUFFER:
                         yield from flush(held)
                         held, size = [], 0
-                    held.append((piece, h, at))
+                    held.append((piece, h, i, at))
                     size += len(piece)
         yield from flush(held)
 
-    return docs.select(text_key().alias("h"), "text").mapInArrow(find, "gram long, content long, h long, start long, windows int")
+    return docs.select(*text_key(), "text").mapInArrow(find, "gram long, content long, h long, i long, start long, windows int, anchor int")
 
 
 def ranges(found: np.ndarray, depth: int) -> list[tuple[int, int]]:
@@ -146,87 +154,91 @@ def ranges(found: np.ndarray, depth: int) -> list[tuple[int, int]]:
 _RANGES = "gram long, content long, s int, e int"
 
 
-def _windows(contents: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(content index, offset, hash) of the windows of some contents of under a buffer together."""
-    data = b"".join(contents)
-    h = rolling(np.frombuffer(data, np.uint8), depth)
+def named(keys: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on, equal for equal keys."""
+    return np.unique(keys, return_inverse=True)[1].ravel()
+
+
+def digit_passes(names: np.ndarray, digits: np.ndarray, copies: np.ndarray) -> list[np.ndarray]:
+    """Most-significant-digit passes over strings, the rows of ``digits`` (256 beyond a string's end).
+
+    ``names`` are the groups to begin with. The k-th result has each string's group after k digits, or -1 once
+    it has left: because it ended, or because nothing else was in its group and it has no copies."""
+    out = [names]
+    alive = np.arange(len(names))
+    for digit in digits.T:
+        now = digit[alive]
+        alive = alive[now < 256]
+        group = named(out[-1][alive] * 256 + now[now < 256])
+        stays = np.bincount(group, copies[alive])[group] > 1 if len(group) else np.zeros(0, bool)
+        alive = alive[stays]
+        after = np.full(len(names), -1)
+        after[alive] = group[stays]
+        out.append(after)
+    return out
+
+
+def strings(contents: list[bytes], begin: list[int], width: int, backwards: bool) -> np.ndarray:
+    """A row of ``width`` digits for each content, from a place in it on, to the right or to the left."""
+    rows = np.full((len(contents), width), 256, np.int16)
+    for row, data, at in zip(rows, contents, begin):
+        part = np.frombuffer(data, np.uint8)
+        part = part[:at][::-1] if backwards else part[at:]
+        row[: len(part)] = part[:width]
+    return rows
+
+
+def repeated_windows(grams: np.ndarray, copies: np.ndarray, contents: list[bytes], anchors: list[int], depth: int, gram: int) -> np.ndarray:
+    """Which windows of some contents are repeated in their gram's group: a row for each content, a column for
+    each place before the gram where a window may begin."""
+    reach = depth - gram
+    right = strings(contents, anchors, depth, False)
+    # The first digit is the gram itself, so that grams of one hash and different bytes part here.
+    first = named(np.ascontiguousarray(right[:, :gram].astype(np.uint8)).view(f"V{gram}").ravel())
+    first = named(first * (int(grams.max()) + 1) + grams)
+    after = [None] * gram + digit_passes(first, right[:, gram:], copies)
+    before = digit_passes(first, strings(contents, anchors, reach, True), copies)
     sizes = np.array([len(c) for c in contents])
-    counts = sizes - depth + 1
-    index = np.repeat(np.arange(len(contents)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return index, offset, h[np.repeat(np.cumsum(sizes) - sizes, counts) + offset]
-
-
-def sort_groups(batches, depth: int):
-    """Rows (gram, content, copies, bytes) in the order of their grams -> covered ranges per content."""
+    anchors = np.array(anchors)
+    again = np.zeros((len(contents), reach + 1), bool)
+    for o in range(reach + 1):
+        mine = np.flatnonzero((after[depth - o] >= 0) & (before[o] >= 0) & (o <= anchors) & (anchors - o + depth <= sizes))
+        if len(mine):
+            group = named(after[depth - o][mine] * len(contents) + before[o][mine])
+            again[mine, o] = np.bincount(group, copies[mine])[group] > 1
+    return again
+
+
+def sort_groups(batches, depth: int, gram: int):
+    """Rows (gram, content, copies, anchor, bytes) in the order of their grams -> covered ranges per content."""
     schema = pa.schema([("gram", pa.int64()), ("content", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
     def decide(rows):
+        grams, content, copies, anchors, data = zip(*rows)
+        again = repeated_windows(named(np.array(grams)), np.array(copies), data, list(anchors), depth, gram)
         out = {f.name: [] for f in schema}
-        at = 0
-        while at < len(rows):
-            # Whole groups, as many as a buffer holds; one larger group is taken in buffers of its own.
-            stop, size = at, 0
-            while stop < len(rows):
-                end = stop
-                while end < len(rows) and rows[end][0] == rows[stop][0]:
-                    end += 1
-                size += sum(len(r[3]) for r in rows[stop:end])
-                if stop > at and size > BUFFER:
-                    break
-                stop = end
-            part = rows[at:stop]
-            index, offset, h = [], [], []
-            first = 0
-            while first < len(part):
-                last, held = first, 0
-                while last < len(part) and held + len(part[last][3]) <= BUFFER:
-                    held += len(part[last][3])
-                    last += 1
-                i, o, x = _windows([r[3] for r in part[first:last]], depth)
-                index.append(i + first)
-                offset.append(o)
-                h.append(x)
-                first = last
-            index, offset, h = map(np.concatenate, (index, offset, h))
-            group = np.array([r[0] for r in part])[index]
-            copies = np.array([r[2] for r in part])[index]
-            order = np.lexsort((h, group))
-            new = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (h[order][1:] != h[order][:-1])])
-            total = np.add.reduceat(copies[order], np.flatnonzero(new))
-            again = np.empty(len(h), bool)
-            again[order] = (total > 1)[np.cumsum(new) - 1]
-            index, offset = index[again], offset[again]
-            for k, mine in zip(*_split(index, offset)):
-                for s, e in ranges(mine, depth):
-                    out["gram"].append(part[k][0])
-                    out["content"].append(part[k][1])
-                    out["s"].append(s)
-                    out["e"].append(e)
-            at = stop
+        for k in np.flatnonzero(again.any(axis=1)):
+            for s, e in ranges(anchors[k] - np.flatnonzero(again[k])[::-1], depth):
+                for c, v in zip(out, (grams[k], content[k], s, e)):
+                    out[c].append(v)
         return batch(schema, **out)
 
     held: list = []
     for b in batches:
-        held += zip(*(b.column(c).to_pylist() for c in ("gram", "content", "copies", "bytes")))
-        if held:
-            cut = len(held)
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            if cut:
-                yield decide(held[:cut])
-                held = held[cut:]
+        held += zip(*(b.column(c).to_pylist() for c in ("gram", "content", "copies", "anchor", "bytes")))
+        # Whole groups: the last one may go on in the next batch.
+        while len(held) > SORTED and held[0][0] != held[-1][0]:
+            cut = SORTED
+            while cut < len(held) and held[cut][0] == held[cut - 1][0]:
+                cut += 1
+            if cut == len(held):
+                cut = next(k for k in range(len(held) - 1, 0, -1) if held[k][0] != held[k - 1][0])
+            yield decide(held[:cut])
+            held = held[cut:]
     if held:
         yield decide(held)
 
 
-def _split(index: np.ndarray, offset: np.ndarray):
-    if not len(index):
-        return [], []
-    new = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[new].tolist(), np.split(offset, new[1:])
-
-
 def covered(spark: SparkSession, docs: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
     """(h, ranges): the byte ranges of each distinct text that repeated windows cover, as (s, e) pairs."""
     found = materialize(spark, all_runs(docs, depth, gram), "runs")
@@ -235,12 +247,13 @@ def covered(spark: SparkSession, docs: DataFrame, depth: int, gram: int, hot: in
     groups = materialize(spark, groups.select("gram", (F.col("lo") == F.col("hi")).alias("decided")), "groups")
     again = materialize(spark, found.join(groups, "gram"), "repeated")
     release(spark, found)
-    sure = again.where("decided").select("h", F.col("start").alias("s"), (F.col("start") + F.col("windows") - 1 + depth).alias("e"))
+    sure = again.where("decided").select("h", "i", F.col("start").alias("s"), (F.col("start") + F.col("windows") - 1 + depth).alias("e"))
 
     open_runs = again.where("not decided")
-    contents = open_runs.groupBy("gram", "content").agg(F.count("*").alias("copies"), F.min(F.struct("h", "start", "windows")).alias("at"))
-    wanted = contents.groupBy("at.h").agg(F.collect_list(F.struct("gram", "content", "copies", F.col("at.start").alias("start"), F.col("at.windows").alias("windows"))).alias("wanted"))
-    schema = pa.schema([("gram", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("bytes", pa.binary())])
+    contents = open_runs.groupBy("gram", "content").agg(F.count("*").alias("copies"), F.min(F.struct("h", "i", "start", "windows", "anchor")).alias("at"))
+    wanted = contents.groupBy("at.h", "at.i").agg(F.collect_list(F.struct(
+        "gram", "content", "copies", F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), F.col("at.anchor").alias("anchor"))).alias("wanted"))
+    schema = pa.schema([("gram", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("anchor", pa.int32()), ("bytes", pa.binary())])
 
     def fetch(batches):
         for b in batches:
@@ -248,39 +261,38 @@ def covered(spark: SparkSession, docs: DataFrame, depth: int, gram: int, hot: in
             for text, items in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist()):
                 data = encoded(text)
                 for r in items:
-                    for c in ("gram", "content", "copies"):
+                    for c in ("gram", "content", "copies", "anchor"):
                         rows[c].append(r[c])
                     rows["bytes"].append(data[r["start"] : r["start"] + r["windows"] - 1 + depth])
             yield batch(schema, **rows)
 
-    bytes_of = distinct_texts(docs).join(wanted, "h").mapInArrow(fetch, "gram long, content long, copies long, bytes binary")
+    bytes_of = distinct_texts(docs).join(wanted, ["h", "i"]).mapInArrow(fetch, "gram long, content long, copies long, anchor int, bytes binary")
     bytes_of = materialize(spark, bytes_of, "contents")
     sizes = bytes_of.groupBy("gram").agg(F.count("*").alias("contents"))
     tagged = bytes_of.join(sizes, "gram")
     cold = tagged.where(F.col("contents") <= hot).drop("contents").repartition("gram").sortWithinPartitions("gram")
-    cold = cold.mapInArrow(lambda batches: sort_groups(batches, depth), _RANGES)
-    cells = pa.schema([("gram", pa.int64()), ("window", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("copies", pa.int64())])
+    cold = cold.mapInArrow(lambda batches: sort_groups(batches, depth, gram), _RANGES)
+    cells = pa.schema([("gram", pa.int64()), ("window", pa.binary()), ("content", pa.int64()), ("at", pa.int32()), ("copies", pa.int64())])
 
     def windows(batches):
         for b in batches:
             for g, c, n, data in zip(*(b.column(x).to_pylist() for x in ("gram", "content", "copies", "bytes"))):
-                _, offset, h = _windows([data], depth)
-                k = len(h)
-                yield batch(cells, gram=[g] * k, window=h.view(np.int64), content=[c] * k, at=offset.astype(np.int32), copies=[n] * k)
+                view, k = memoryview(data), len(data) - depth + 1
+                yield batch(cells, gram=[g] * k, window=[xxhash.xxh3_128_digest(view[s : s + depth]) for s in range(k)], content=[c] * k, at=np.arange(k, dtype=np.int32), copies=[n] * k)
 
-    dealt = tagged.where(F.col("contents") > hot).mapInArrow(windows, "gram long, window long, content long, at int, copies long")
-    twice = dealt.groupBy("gram", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("gram", "window")
-    dealt = dealt.join(twice, ["gram", "window"]).select("gram", "content", F.col("at").alias("s"), (F.col("at") + depth).alias("e"))
+    dealt = tagged.where(F.col("contents") > hot).mapInArrow(windows, "gram long, window binary, content long, at int, copies long")
+    twice = dealt.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
+    dealt = dealt.join(twice, "window").select("gram", "content", F.col("at").alias("s"), (F.col("at") + depth).alias("e"))
     parts = materialize(spark, cold.union(dealt), "ranges")
     release(spark, bytes_of)
 
-    late = open_runs.join(parts, ["gram", "content"]).select("h", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
+    late = open_runs.join(parts, ["gram", "content"]).select("h", "i", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
     # Copies of a text give equal ranges: one of each is left before they are gathered per text.
-    return sure.union(late).distinct().groupBy("h").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("ranges"))
+    return sure.union(late).distinct().groupBy("h", "i").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("ranges"))
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    return docs.select(text_key().alias("h"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["h"])
+    return docs.select(*text_key(), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["h", "i"])
 
 
 def merge(pairs) -> list[tuple[int, int]]:
@@ -294,8 +306,8 @@ def merge(pairs) -> list[tuple[int, int]]:
 
 
 def cut_texts(docs: DataFrame, cover: DataFrame, with_text: bool) -> DataFrame:
-    """h, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the text that is left."""
-    fields = [("h", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    """h, i, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the text that is left."""
+    fields = [("h", pa.int64()), ("i", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept_text", pa.string())] * with_text)
 
     def cut(batches):
@@ -313,28 +325,29 @@ def cut_texts(docs: DataFrame, cover: DataFrame, with_text: bool) -> DataFrame:
                 if with_text:
                     # A range may end inside a character; what is left of it is no text.
                     rows["kept_text"].append(kept.decode("utf-8", "ignore"))
-            rows["h"] = b.column("h")
+            rows["h"], rows["i"] = b.column("h"), b.column("i")
             yield batch(schema, **rows)
 
-    ddl = "h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return distinct_texts(docs).join(cover, "h", "left").mapInArrow(cut, ddl)
+    ddl = "h long, i long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    return distinct_texts(docs).join(cover, ["h", "i"], "left").mapInArrow(cut, ddl)
 
 
 def removed_spans(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     docs = docs.select("doc_id", "text")
     results = cut_texts(docs, covered(spark, docs, depth, gram, hot), False)
-    return docs.select("doc_id", text_key().alias("h")).join(results, "h").drop("h")
+    return docs.select("doc_id", *text_key()).join(results, ["h", "i"]).drop("h", "i")
 
 
 def cut_documents(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT, lengths: str | None = "n_chars") -> DataFrame:
     """The input's rows and columns with what is left of their texts. Null texts stay null; the column
     named by ``lengths``, where there is one, gets the new number of characters."""
     cover = covered(spark, docs.select("text"), depth, gram, hot)
-    results = cut_texts(docs.select("text"), cover, True).where("n_removed > 0").select(F.col("h").alias("_h"), F.col("kept_text").alias("_kept"))
+    results = cut_texts(docs.select("text"), cover, True).where("n_removed > 0").select(F.col("h").alias("_h"), F.col("i").alias("_i"), F.col("kept_text").alias("_kept"))
     names = docs.columns
     own = {c: f"_row_{k}" for k, c in enumerate(names)}
-    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()], text_key().alias("_h")).join(results, "_h", "left")
+    name = [k.alias(c) for k, c in zip(text_key(), ("_h", "_i"))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()], *name).join(results, ["_h", "_i"], "left")
     new = {c: F.col(o) for c, o in own.items()}
     new["text"] = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col(own["text"]))
     if lengths in own:

@@ -2,6 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from chronoweave.llm import substrings as ss
 
 
@@ -43,6 +46,45 @@ def test_against_brute_force(spark):
         assert got == [(k, *w) for k, w in enumerate(brute(texts, 50))]
 
 
+def test_default_parameters_and_the_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = sorted(tuple(r) for r in ss.op7_substrings(spark, sf).collect())
+    assert got == sorted((r.doc_id, *w) for r, w in zip(docs, brute([r.text for r in docs], ss.DEPTH)))
+    rng = random.Random(4)
+    base = "".join(rng.choices("abcdefgh \u00e9", k=1500))
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for i in rng.sample(range(1500), rng.randint(0, 6)):
+            copy[i] = rng.choice("xyz")
+        texts.append("".join(copy[rng.randint(0, 300) : rng.randint(600, 1500)]))
+    texts += texts[:3] + ["ab" * 400, "ba" * 150, "a" * 199, "a" * 200, "a" * 201]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = [(k, *w) for k, w in enumerate(brute(texts, 200))]
+    for hot in (ss.HOT, 20):
+        assert sorted(tuple(r) for r in ss.removed_spans(spark, docs, hot=hot).collect()) == want
+
+
+def test_groups_of_one_hash_and_different_bytes(monkeypatch):
+    contents = [b"g" * 4 + b"abcd", b"g" * 4 + b"abce", b"h" * 4 + b"abcd", b"h" * 4 + b"abcd" + b"z", b"xg" + b"gggabcd"]
+    again = ss.repeated_windows(np.zeros(5, int), np.array([1, 1, 1, 1, 1]), contents, [0, 0, 0, 0, 1], 8, 4)
+    assert again.tolist() == [[True, *[False] * 4], [False] * 5, [True, *[False] * 4], [True, *[False] * 4], [True, *[False] * 4]]
+
+
+def test_sorting_in_parts(spark, monkeypatch):
+    texts = corpus(3)
+    rows = []
+    for k, t in enumerate(texts):
+        for piece, g, c, s, n, at in zip(*(ss.runs([ss.encoded(t)], 50, 12) or [[]] * 6)):
+            rows.append((int(g), int(c), 1, int(at), ss.encoded(t)[s : s + n - 1 + 50]))
+    rows = sorted({r[:2]: r for r in rows}.values())
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("gram", "content", "copies", "anchor", "bytes"), r)) for r in rows[a : a + 9]]) for a in range(0, len(rows), 9)]
+    collected = lambda: sorted(map(str, (r for b in ss.sort_groups(batches, 50, 12) for r in b.to_pylist())))
+    want = collected()
+    monkeypatch.setattr(ss, "SORTED", 3)
+    assert want and collected() == want
+
+
 def test_long_texts_and_buffers(spark, monkeypatch):
     rng = random.Random(9)
     block = "".join(rng.choices("abcdef ", k=700))
