@@ -6,27 +6,30 @@ is keyed by blocks of two neighbouring words: a text position whose block stands
 the search jump ahead by as much as the pattern length allows; a block that ends patterns leads to
 the bucket of those patterns, and a direct comparison of the words confirms each of them.
 
-The patterns travel in blocks of at most ``max_words`` words, a documented bound; a larger benchmark
-takes several passes over the rows, each of which adds its hits to those of the passes before it.
+The patterns travel in blocks of at most ``max_words`` words (a longer item is a block of its own), a documented
+bound on what the driver reads, broadcasts and holds at a time and on a worker's tables, which are built
+once in a worker. A larger benchmark takes a pass over the rows for each block; a pass adds its hits to those of the
+passes before it and is written to the shared folder before the next block is read.
 
-Cases: null texts have no words; an item or a text without words never hits; equal items each count;
+Cases: null texts have no words; an empty table of documents gives no rows; an item or a text without words never hits; equal items each count;
 null item ids are left out of the list of items; repeated document rows each give a row; an empty
 benchmark hits nothing; columns other than the ids and texts are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import defaultdict
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import materialize, release
 
 WINDOW = 13
-MAX_WORDS = 2_000_000
+MAX_WORDS = 400_000
 #: Words are runs of ASCII letters and digits and of everything beyond ASCII.
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
@@ -96,6 +99,12 @@ def pattern_blocks(benchmark: DataFrame, max_words: int):
         yield block
 
 
+@lru_cache(maxsize=1)
+def tables(key: str, window: int, held) -> list[Searcher]:
+    """A block's searchers, built once in a worker; the key names the block."""
+    return searchers(held.value, window)
+
+
 def mark_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, with_rows: bool = False
 ) -> DataFrame:
@@ -103,13 +112,15 @@ def mark_contamination(
     names = docs.columns if with_rows else ["doc_id"]
     own = {c: f"_row_{k}" for k, c in enumerate(names)}
     frame = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in names], F.col("text").alias("_text"), F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<string>").alias("_items"))
-    schema = frame.schema
-    blocks = list(pattern_blocks(benchmark, max_words)) or [[]]
-
-    for block in blocks:
-
-        def search(batches, block=block):
-            found = searchers(block, window)
+    spark, schema = docs.sparkSession, frame.schema
+    written = None
+    blocks = pattern_blocks(benchmark, max_words)
+    block = next(blocks, [])
+    while block is not None:
+        held, key, following = spark.sparkContext.broadcast(block), uuid.uuid4().hex, next(blocks, None)
+
+        def search(batches, held=held, key=key):
+            found = tables(key, window, held)
             for b in batches:
                 hits, lists = [], []
                 for text, hit, items in zip(b.column("_text").to_pylist(), b.column("_hit").to_pylist(), b.column("_items").to_pylist()):
@@ -124,6 +135,13 @@ def mark_contamination(
                 yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
         frame = frame.mapInArrow(search, schema)
+        if following is not None:
+            frame = materialize(spark, frame, "hits")
+            held.destroy()
+            if written is not None:
+                release(spark, written)
+            written = frame
+        block = following
 
     hit = F.length(F.regexp_replace(F.decode("_hit", "ISO-8859-1"), "\\x00", ""))
     frame = frame.select(
