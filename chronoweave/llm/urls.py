@@ -3,9 +3,10 @@
 Rules are (action, host/path prefix); a rule fits its host and all subdomains where the url's path
 starts with the rule's path, and the longest fitting rule decides. Where no rule fits, boosted trees
 decide. They are trained from labelled urls: the rows on which a rule decides, a bounded sample of
-``sample`` rows (the smallest hashes of url and id, so the same on every run). Features: lengths,
-depth, digit ratio, character entropy, parameter counts, and smoothed statistics of the suffixes of
-the host and of the first path segment, taken from the same sample.
+``sample`` rows (the smallest hashes of url and id, so the same on every run; tasks offer only rows under a hash
+that about ``sample`` rows lie under). Features: lengths, depth, digit ratio, character entropy, parameter counts, and
+smoothed statistics of the suffixes of the host and of the first path segment. A url's statistics are those of
+the sample's other folds where the trees are trained, and those of the whole sample where urls are judged.
 
 Cases: a null url or one without ``://`` has an empty host and path and fits no rule; repeated rows
 each give a row; without labelled rows everything that no rule blocks is allowed; an empty table
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, id_types
 
 RULES: tuple[tuple[str, str], ...] = (
     ("allow", "org/"),
@@ -33,6 +34,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("block", "com/de/"),
 )
 SAMPLE = 10_000
+FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_digit_ratio", "entropy",
             "host_entropy", "parameters", "hyphens", "suffix1", "suffix2", "segment")
 
@@ -75,6 +77,19 @@ class Statistics:
         return cls([{k: (s + 5 * base) / (n + 5) for k, (n, s) in t.items() if n >= 5} for t in tallies], base)
 
 
+def training_features(urls: list[str | None], labels: np.ndarray) -> np.ndarray:
+    """The features of labelled urls, each with the statistics of the other folds."""
+    rows = np.zeros((len(urls), len(FEATURES)))
+    for k in range(FOLDS):
+        others = [i for i in range(len(urls)) if i % FOLDS != k]
+        rows[k::FOLDS] = features(urls[k::FOLDS], Statistics.of([urls[i] for i in others], labels[others]))
+    return rows
+
+
+def fit(urls: list[str | None], labels: np.ndarray) -> tuple[Statistics, Trees]:
+    return Statistics.of(urls, labels), boost(training_features(urls, labels), labels)
+
+
 def features(urls: list[str | None], stats: Statistics) -> np.ndarray:
     rows = np.zeros((len(urls), len(FEATURES)))
     for r, url in zip(rows, urls):
@@ -172,27 +187,27 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     rows = rows.withColumns({"rule": rule, "action": action})
     labelled = rows.where("action is not null").select("url", "action", F.xxhash64("url", "page_id").alias("h"))
     n = labelled.count()
-    if n > 4 * sample:
-        # Hashes are even: a share of their range has about that share of the rows. So each task offers
-        # its part of a little more than the sample, not a whole sample of its own.
-        labelled = labelled.where(F.col("h") < int(-(2**63) + 2**64 * 2 * sample / n))
+    if n > sample:
+        # Hashes are even, so a share of their range has about that share of the rows: with a margin of six
+        # standard deviations, tasks offer little more than the sample, together and at every size.
+        share = (sample + 6 * math.sqrt(sample)) / n
+        labelled = labelled.where(F.col("h") < int(min(2**63 - 1, -(2**63) + 2**64 * share)))
     taken = labelled.orderBy("h", "url", "action").limit(sample).collect()
-    urls, y = [r["url"] for r in taken], np.array([float(r["action"] == "block") for r in taken])
-    stats = Statistics.of(urls, y)
-    trees = boost(features(urls, stats), y)
-    schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("score", pa.float64())])
+    stats, trees = fit([r["url"] for r in taken], np.array([float(r["action"] == "block") for r in taken]))
+    arrow_id, sql_id = id_types(pages, "page_id")
+    schema = pa.schema([("page_id", arrow_id), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("score", pa.float64())])
 
     def score(batches):
         for b in batches:
-            p = trees.score(features(b.column("url").to_pylist(), stats))
-            actions = b.column("action").to_pylist()
+            actions, urls = b.column("action").to_pylist(), b.column("url").to_pylist()
+            p = iter(trees.score(features([u for u, a in zip(urls, actions) if a is None], stats)).tolist())
+            scores = [next(p) if a is None else None for a in actions]
             yield batch(
-                schema, page_id=b.column("page_id").cast(pa.int64()), host=b.column("host"), path=b.column("path"), rule=b.column("rule"),
-                verdict=[a or ("block" if x >= 0.5 else "allow") for a, x in zip(actions, p)],
-                score=[None if a else float(x) for a, x in zip(actions, p)],
+                schema, page_id=b.column("page_id"), host=b.column("host"), path=b.column("path"), rule=b.column("rule"),
+                verdict=[a or ("block" if x >= 0.5 else "allow") for a, x in zip(actions, scores)], score=scores,
             )
 
-    return rows.mapInArrow(score, "page_id long, host string, path string, rule string, verdict string, score double")
+    return rows.mapInArrow(score, f"page_id {sql_id}, host string, path string, rule string, verdict string, score double")
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from chronoweave.llm import urls
 
@@ -23,7 +24,73 @@ def test_held_out_accuracy(spark):
     x = [r.url for r in rows]
     y = np.array([float(r.a == "block") for r in rows])
     n = len(x) * 4 // 5
-    stats = urls.Statistics.of(x[:n], y[:n])
-    model = urls.boost(urls.features(x[:n], stats), y[:n])
+    stats, model = urls.fit(x[:n], y[:n])
     right = ((model.score(urls.features(x[n:], stats)) >= 0.5) == y[n:]).mean()
     assert right > max(0.8, 1 - y[n:].mean()), right
+
+
+def slow_host_and_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url[url.index("://") + 3 :]
+    host = path = ""
+    k = 0
+    while k < len(rest) and rest[k] not in "/?#":
+        host += rest[k].lower() if "A" <= rest[k] <= "Z" else rest[k]
+        k += 1
+    while k < len(rest) and rest[k] not in "?#":
+        path += rest[k]
+        k += 1
+    return host, path
+
+
+def slow_rule(host, path):
+    best = None
+    for action, prefix in urls.RULES:
+        h, _, p = prefix.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(prefix) > len(best[1])):
+            best = (action, prefix)
+    return best or (None, None)
+
+
+def slow_score(trees, row):
+    total = trees.start
+    for feature, split, value in trees.trees:
+        node = 0
+        while feature[node] >= 0:
+            node = 2 * node + (2 if row[feature[node]] > split[node] else 1)
+        total += value[node]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_query_against_a_slow_reference(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = pages.collect()
+    judged = [(r, *slow_host_and_path(r.url)) for r in rows]
+    ruled = [(r, *slow_rule(h, p)) for r, h, p in judged]
+    labelled = [(r.url, a) for r, a, _ in ruled if a]
+    # The sample's order is that of its hashes, on which the folds depend.
+    order = {(r.url, r.page_id): r.h for r in pages.select("url", "page_id", F.xxhash64("url", "page_id").alias("h")).collect()}
+    labelled = [(order[r.url, r.page_id], r.url, a) for r, a, _ in ruled if a]
+    labelled.sort()
+    stats, trees = urls.fit([u for _, u, _ in labelled], np.array([float(a == "block") for _, _, a in labelled]))
+    want = []
+    for (r, host, path), (_, action, rule) in zip(judged, ruled):
+        verdict = action or ("block" if slow_score(trees, urls.features([r.url], stats)[0]) >= 0.5 else "allow")
+        want.append(str((r.page_id, host, path, rule, verdict)))
+    got = urls.op9_urls(spark, sf).collect()
+    assert sorted(str(tuple(r)[:5]) for r in got) == sorted(want)
+
+
+def test_statistics_of_training_rows_leave_them_out():
+    urls_, y = ["http://a.one/x"] * 50 + ["http://b.two/y"] * 50, np.array([1.0] * 50 + [0.0] * 50)
+    assert len(urls.training_features(urls_, y)) == 100
+    lone = ["http://h%d.net/" % k for k in range(20)] + ["http://odd.zz/"] * 5
+    rows = urls.training_features(lone, np.array([0.0] * 20 + [1.0] * 5))
+    assert (rows[20:, urls.FEATURES.index("suffix1")] < 0.5).all()
+
+
+def test_sample_is_bounded_at_every_size(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/es/"), "id").alias("url")).repartition(8)
+    few = urls.judge(pages.union(spark.createDataFrame([(-1, "http://n.net/")], "page_id long, url string")), sample=100)
+    assert few.count() == 3001
