@@ -1,15 +1,20 @@
 """WARC archives: one request, response (or revisit) and metadata record per page, written as gzipped
-WARC/1.1 files by Spark's own text writer, read back and assembled into one nested row per capture.
+WARC/1.1 files, read back and assembled into one nested row per capture.
 
 Writing. The payload's digest decides the record type: among pages with equal payloads of at least
 ``min_bytes`` bytes the smallest page_id is the response and the others revisit it. Only (page_id,
-digest) rows are grouped and joined for that; payloads stay where they are. Every record ends with the
-blank line that the writer puts after each row, so a part file, unzipped, is a valid archive; the write goes
-through Spark's commit protocol, and a lost executor's task is simply run again.
-
-Reading. Files are read whole (their size is bounded by ``pages_per_file``), parsed by Content-Length,
-and the records of one transaction are joined through WARC-Concurrent-To: request and metadata records
-name the response's record id. Each capture becomes one row with nested request, response and metadata.
+digest) rows are grouped and joined for that; payloads stay where they are. Every record is a gzip member of its
+own, and a file ends before it would have more than ``file_bytes`` bytes (a larger transaction is a file of its
+own), so files are bounded by bytes whatever the pages. The write goes through Spark's commit protocol, and a
+lost executor's task is simply run again. Spark's writer ends a file with a zero byte, which gzip allows as
+padding.
+
+Reading. A file is read member by member: a worker holds the compressed file and one record at a time, and hands
+rows on in batches of bounded size. Records are parsed by Content-Length, and those of one transaction are joined
+through WARC-Concurrent-To: request and metadata records name the response's record id. Each capture becomes one
+row with nested request, response and metadata. A member that is no record, a response whose payload is not
+that of its digest, and a file that is damaged from some byte on give a row of kind ``malformed`` with the reason,
+and are in no capture; ``read_records`` shows them to be counted.
 
 Cases: null html is an empty payload; a null url is written as an empty target; rows with equal
 page_id give a capture each (record ids carry the url's and payload's digests and a copy number), and
@@ -20,8 +25,8 @@ columns are not read.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +36,9 @@ from .common import batch, new_folder
 
 #: A fixed capture time: the pages carry none, and archives are the same on every run.
 DATE = "2020-01-01T00:00:00Z"
-PAGES_PER_FILE = 2_000
+#: Compressed bytes of a file, and bytes of the rows that a reader hands on together.
+FILE_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
+STEP_BYTES = 16 << 10
 PAYLOAD_TYPE = "application/http;msgtype=response"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -67,9 +74,13 @@ def record(kind: str, record_id: str, headers: list[tuple[str, str]], content_ty
     return "\r\n".join(lines).encode("utf-8", "replace") + END.encode() + block
 
 
-def transaction(page, url: str, sha1: str, n: int, copy: int, html: str | None, first) -> list[bytes]:
+def record_name(page, url: str, sha1: str, copy: int) -> str:
+    return f"urn:page:{page}:{hashlib.sha1(url.encode('utf-8', 'replace')).hexdigest()[:16]}:{sha1}:{copy}"
+
+
+def transaction(page, url: str, sha1: str, n: int, copy: int, html: str | None, first, first_record: str | None) -> list[bytes]:
     """The request, response (html given) or revisit, and metadata records of one page."""
-    name = f"urn:page:{page}:{hashlib.sha1(url.encode('utf-8', 'replace')).hexdigest()[:16]}:{sha1}:{copy}"
+    name = record_name(page, url, sha1, copy)
     main = f"{name}:response"
     target = url.replace("\r", "%0D").replace("\n", "%0A")
     common = [("WARC-Target-URI", target), ("WARC-Page-ID", str(page))]
@@ -79,7 +90,7 @@ def transaction(page, url: str, sha1: str, n: int, copy: int, html: str | None,
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}{END}".encode()
     held = [*common, ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode())]
     if html is None:
-        held += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To-Page-ID", str(first))]
+        held += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{first_record}>"), ("WARC-Refers-To-Page-ID", str(first))]
         answer = record("revisit", main, held, PAYLOAD_TYPE, head)
     else:
         answer = record("response", main, held, PAYLOAD_TYPE, head + html.encode("utf-8", "replace"))
@@ -89,7 +100,13 @@ def transaction(page, url: str, sha1: str, n: int, copy: int, html: str | None,
     ]
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, pages_per_file: int = PAGES_PER_FILE) -> None:
+def member(data: bytes) -> bytes:
+    """A record as a gzip member, with the blank lines that end it."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.compress(END.encode()) + packer.flush()
+
+
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Write the pages as WARC files under the folder."""
     keys = ["key", "url", "sha1"]
     texts = _keyed(pages).groupBy(*keys).agg(
@@ -98,72 +115,115 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, pages_per_
     shared = F.col("first_key").isNotNull()
     own = shared & (F.col("key") == F.col("first_key")) & (F.col("url") == F.col("first_url"))
     rows = rows.select(
-        "page_id", "url", "sha1", "payload_bytes", "copies", "first_id",
+        "page_id", "url", "sha1", "payload_bytes", "copies", "first_id", "first_url",
         F.when(shared, F.when(own, 1).otherwise(0)).otherwise(F.col("copies")).cast("long").alias("responses"),
         F.when(~shared | own, F.col("html")).alias("html"),
     )
     out = pa.schema([("value", pa.binary())])
 
-    def records(batches):
+    def files(batches):
+        held, size = [], 0
         for b in batches:
-            values = []
-            for page, url, sha1, n, copies, first, responses, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "sha1", "payload_bytes", "copies", "first_id", "responses", "html"))):
+            for page, url, sha1, n, copies, first, first_url, responses, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "sha1", "payload_bytes", "copies", "first_id", "first_url", "responses", "html"))):
+                first_record = None if first_url is None else f"{record_name(first, first_url, sha1, 0)}:response"
                 for copy in range(copies):
-                    values += transaction(page, url, sha1, n, copy, html if copy < responses else None, first)
-            yield batch(out, value=values)
-
-    lines = rows.mapInArrow(records, "value binary").select(F.expr("cast(value as string)").alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", 3 * pages_per_file).option("compression", "gzip").text(folder)
-
-
-def parse(data: bytes):
-    """(headers with lower-case names, block) of each record of an archive."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        stop = data.index(b"\r\n\r\n", at)
-        headers = {}
-        for line in data[at:stop].split(b"\r\n")[1:]:
-            k, _, v = line.partition(b":")
-            headers[k.strip().lower().decode()] = v.strip().decode("utf-8", "replace")
-        start = stop + 4
-        n = int(headers["content-length"])
-        if data[start + n : start + n + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield headers, data[start : start + n]
-        at = start + n + 4
-
-
-def read_records(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives; responses have their payload's length and digest."""
-    names = ["record_id", "kind", "concurrent_to", "url", "page_id", "refers_to", "payload_digest", "fields"]
-    schema = pa.schema([(c, pa.string()) for c in names] + [("payload_bytes", pa.int64()), ("payload", pa.binary())])
+                    made = [member(r) for r in transaction(page, url, sha1, n, copy, html if copy < responses else None, first, first_record)]
+                    more = sum(map(len, made))
+                    if held and size + more > file_bytes:
+                        yield batch(out, value=[b"".join(held)])
+                        held, size = [], 0
+                    held += made
+                    size += more
+        if held:
+            yield batch(out, value=[b"".join(held)])
+
+    # A row is a file's content.
+    contents = rows.mapInArrow(files, "value binary").select(F.expr("cast(value as string)").alias("value"))
+    contents.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
+
+
+def members(data: bytes):
+    """The unpacked gzip members of a file, one at a time; zeros after them are padding. A damaged member ends
+    the file, with an exception in its place."""
+    view, at = memoryview(data), 0
+    while at < len(data) and data[at]:
+        unpacker, parts = zlib.decompressobj(31), []
+        try:
+            while not unpacker.eof:
+                if at == len(data):
+                    raise zlib.error("the last member ends early")
+                parts.append(unpacker.decompress(view[at : at + STEP_BYTES]))
+                at = min(at + STEP_BYTES, len(data))
+        except zlib.error as error:
+            yield error
+            return
+        yield b"".join(parts)
+        at -= len(unpacker.unused_data)
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """The headers, with lower-case names, and the block of a record."""
+    if not data.startswith(b"WARC/"):
+        raise ValueError("no WARC record")
+    stop = data.find(b"\r\n\r\n")
+    if stop < 0:
+        raise ValueError("headers without an end")
+    headers = {}
+    for line in data[:stop].split(b"\r\n")[1:]:
+        k, _, v = line.partition(b":")
+        headers[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
+    length = headers.get("content-length", "")
+    if not (length.isascii() and length.isdigit()) or data[stop + 4 + int(length) :] != END.encode():
+        raise ValueError("the record does not end where its length says")
+    if not headers.get("warc-record-id") or not headers.get("warc-type"):
+        raise ValueError("a record without an id or a type")
+    return headers, data[stop + 4 : -len(END)]
+
+
+NAMES = ["record_id", "kind", "concurrent_to", "url", "page_id", "refers_to", "payload_digest", "fields"]
+
+
+def record_row(data: bytes | Exception, with_payload: bool) -> dict:
+    """A record's row, or that of a malformed one."""
+    try:
+        if isinstance(data, Exception):
+            raise ValueError(str(data))
+        h, block = parse(data)
+        head, _, payload = block.partition(b"\r\n\r\n")
+        kind = h["warc-type"]
+        full = kind == "response"
+        if full and "sha1:" + sha1_base32(payload) != h.get("warc-payload-digest"):
+            raise ValueError(f"payload of {h['warc-record-id']} differs from its digest")
+    except ValueError as error:
+        return dict.fromkeys(NAMES) | {"kind": "malformed", "fields": str(error), "payload_bytes": None, "payload": None}
+    return {
+        "record_id": h["warc-record-id"].strip("<>"), "kind": kind, "concurrent_to": h.get("warc-concurrent-to", "").strip("<>") or None,
+        "url": h.get("warc-target-uri"), "page_id": h.get("warc-page-id"), "refers_to": h.get("warc-refers-to-page-id"),
+        "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+        "fields": (block if kind == "metadata" else head).decode("utf-8", "replace"),
+        "payload_bytes": len(payload) if full else None, "payload": payload if full and with_payload else None,
+    }
+
+
+def read_records(spark: SparkSession, folder: str, with_payload: bool = False, pattern: str = "part-*") -> DataFrame:
+    """One row per record of the archives, files of gzip members whose names fit the pattern; responses have their
+    payload's length and digest."""
+    schema = pa.schema([(c, pa.string()) for c in NAMES] + [("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
     def records(batches):
         for b in batches:
             for content in b.column("content"):
-                rows = {f.name: [] for f in schema}
-                for h, block in parse(gzip.decompress(content.as_py())):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    kind = h["warc-type"]
-                    full = kind == "response"
-                    if full and "sha1:" + sha1_base32(payload) != h["warc-payload-digest"]:
-                        raise ValueError(f"payload of {h['warc-record-id']} differs from its digest")
-                    rows["record_id"].append(h["warc-record-id"].strip("<>"))
-                    rows["kind"].append(kind)
-                    rows["concurrent_to"].append(h.get("warc-concurrent-to", "").strip("<>") or None)
-                    rows["url"].append(h.get("warc-target-uri"))
-                    rows["page_id"].append(h.get("warc-page-id"))
-                    rows["refers_to"].append(h.get("warc-refers-to-page-id"))
-                    rows["payload_digest"].append(h.get("warc-payload-digest", "").removeprefix("sha1:") or None)
-                    rows["fields"].append((block if kind == "metadata" else head).decode("utf-8", "replace"))
-                    rows["payload_bytes"].append(len(payload) if full else None)
-                    rows["payload"].append(payload if full and with_payload else None)
-                yield batch(schema, **rows)
-
-    ddl = ", ".join(f"{c} string" for c in names) + ", payload_bytes long, payload binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+                rows, size = [], 0
+                for data in members(content.as_py()):
+                    rows.append(record_row(data, with_payload))
+                    size += sum(len(v) for v in rows[-1].values() if isinstance(v, (str, bytes)))
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    ddl = ", ".join(f"{c} string" for c in NAMES) + ", payload_bytes long, payload binary"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("content")
     return files.mapInArrow(records, ddl)
 
 

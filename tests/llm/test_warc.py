@@ -1,5 +1,10 @@
 import base64
+import glob
+import gzip
 import hashlib
+import os
+import random
+import re
 from collections import Counter
 
 from chronoweave.llm import warc
@@ -51,3 +56,43 @@ def test_query_against_brute_force(spark, sf):
         want.append((p.page_id, len(data), d, "response" if seen == p.page_id else "revisit", None if seen == p.page_id else seen))
     got = sorted(tuple(r) for r in warc.op10_warc(spark, sf).collect())
     assert got == want
+
+
+def test_files_are_bounded_by_bytes_and_large_pages_pass(spark):
+    rng = random.Random(1)
+    noise = lambda n: base64.b64encode(rng.randbytes(n * 3 // 4)).decode()
+    rows = [(k, f"http://h/{k}", noise(20_000)) for k in range(30)] + [(99, "http://large", noise(50_000_000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = new_folder(spark, "t")
+    warc.write_archives(pages, folder, file_bytes=100_000)
+    sizes = sorted(os.path.getsize(f) for f in glob.glob(folder.removeprefix("file://").removeprefix("file:") + "/part-*"))
+    assert len(sizes) >= 6 and all(n <= 100_001 for n in sizes[:-1]) and sizes[-1] > 30_000_000
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read_records(spark, folder).where("kind = 'response'").collect()}
+    assert got == {str(i): (len(h), warc.sha1_base32(h.encode())) for i, _, h in rows}
+
+
+def test_every_record_is_a_member_of_a_valid_gzip_file(spark):
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "x")], "page_id long, url string, html string").coalesce(1)
+    folder = new_folder(spark, "t")
+    warc.write_archives(pages, folder)
+    found = [open(f, "rb").read() for f in glob.glob(folder.removeprefix("file://").removeprefix("file:") + "/part-*")]
+    assert sum(len(list(warc.members(d))) for d in found) == 6
+    text = b"".join(map(gzip.decompress, found))
+    assert text.count(b"WARC/1.1\r\n") == 6 and text.count(b"WARC-Refers-To: <urn:page:1:") == 1
+    # What the revisit refers to is the response's record.
+    refers = re.search(rb"WARC-Refers-To: (<[^>]*>)", text)[1]
+    assert b"WARC-Type: response\r\nWARC-Record-ID: " + refers in text
+
+
+def test_malformed_records_are_reported_and_the_rest_is_read(spark, tmp_path):
+    good = warc.transaction(5, "http://a", warc.hashlib.sha1(b"hi").hexdigest(), 2, 0, "hi", None, None)
+    bad = [b"no record at all", good[1].replace(b"Content-Length: 2\r\n\r\nhi", b"Content-Length: 2\r\n\r\nho"), good[0][:-3], b"WARC/1.1\r\nx: y", b"WARC/1.1\r\nContent-Length: \xc2\xb2\r\n\r\n"]
+    whole = b"".join(map(warc.member, [*good, *bad]))
+    (tmp_path / "part-0").write_bytes(whole + b"\0")
+    (tmp_path / "part-1").write_bytes(warc.member(good[2]) + warc.member(good[0])[:-9])
+    (tmp_path / "part-2").write_bytes(b"")
+    (tmp_path / "other.warc.gz").write_bytes(warc.member(good[0]))
+    records = warc.read_records(spark, f"file://{tmp_path}")
+    assert Counter(r.kind for r in records.collect()) == Counter(request=1, response=1, metadata=2, malformed=6)
+    assert {r.capture_id for r in warc.assemble(records).collect()} == {f"{warc.record_name(5, 'http://a', warc.hashlib.sha1(b'hi').hexdigest(), 0)}:response"}
+    assert warc.read_records(spark, f"file://{tmp_path}", pattern="*.warc.gz").count() == 1
