@@ -1,7 +1,8 @@
 """Token ids as Parquet lists, in document order, with selective reads.
 
-Format. A folder of Parquet files, one per range of doc_id, in ascending order of (doc_id, text); per
-document: ``part`` (the range), ``doc_id``, ``local_start`` (ids before it in its part), ``n_tokens`` and
+Format. A folder of Parquet files, one per range of (doc_id, hash of the text), in ascending order; there are as
+many ranges as the input has ``RANGE_BYTES``, so files are of like size whatever the session's settings, and a
+repeated id is no single range. Per document: ``part`` (the range), ``doc_id``, ``local_start`` (ids before it in its part), ``n_tokens`` and
 ``ids`` (a list of 32-bit ids). Ids are dictionary encoded, the other columns dictionary or delta encoded
 (version 2 pages); row groups, pages and dictionaries have set sizes, and the page indexes let a
 reader take the rows of some documents or only the metadata columns. A document's global start is its
@@ -13,12 +14,13 @@ has a boundary, and it looks at nothing before a match. The first ``MAX_PIECES``
 a table, later ones for the group of texts at hand. A text with a special token's string goes whole.
 
 Cases: a null text counts as empty and has the end id only; repeated rows each give a row, equal ids in
-the order of their texts; null ids come first; an empty table gives an empty file set, read back without
-rows; other columns are not read.
+the order of their texts' hashes; null ids come first, and ids of any type keep it; an empty table gives an empty
+file set, read back without rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -29,11 +31,10 @@ from operator import not_
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, new_folder
+from .common import batch, id_types, new_folder
 
 END_ID = 2
 MAX_PIECES = 500_000
@@ -41,8 +42,8 @@ GROUP = 2_048
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 DICTIONARY_BYTES = 1 << 20
-READ_ROWS = 4_096
-FILE_DDL = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
+#: Bytes of the input, as Spark's statistics have them, for a range.
+RANGE_BYTES = 16 << 20
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PUNCTUATION = r"!-/:-@\[-`{-~"
 #: A word, punctuation, or else anything up to white space that follows another character.
@@ -83,12 +84,21 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def ranges_of(docs: DataFrame) -> int:
+    """How many ranges the documents are written in, from the size of the files that they are read from."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(math.ceil(size / RANGE_BYTES), 100_000))
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, parts: int | None = None) -> None:
     """Encode the documents, append end_id to each, and write the files."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = docs.repartitionByRange(*([parts] if parts else []), "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = parts or ranges_of(docs)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    arrow_id, sql_id = id_types(docs)
+    order = ["doc_id", F.xxhash64("text")]
+    ranged = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("part", pa.int32()), ("doc_id", arrow_id), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches):
         from pyspark import TaskContext
@@ -104,7 +114,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             start += int(offsets[-1])
 
     (
-        ranged.mapInArrow(encode, FILE_DDL).write
+        ranged.mapInArrow(encode, f"part int, doc_id {sql_id}, local_start long, n_tokens long, ids array<int>").write
         .option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "true")
         .option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.dictionary.page.size", DICTIONARY_BYTES)
         .option("compression", "zstd").parquet(folder)
@@ -112,7 +122,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(FILE_DDL).parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -132,26 +142,22 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids. The sums are made where the lists are read,
-    so that the lists travel nowhere."""
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    """doc_id, start, n_tokens and the crc32 of the ids. The Parquet reader hands over batches of lists, and the
+    sums are made there, so that the lists travel nowhere else."""
+    files = read_files(spark, folder)
+    arrow_id, sql_id = id_types(files)
+    schema = pa.schema([("part", pa.int32()), ("doc_id", arrow_id), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def crc(batches):
         for b in batches:
-            for content in b.column("content"):
-                for rows in pq.ParquetFile(pa.BufferReader(content.as_buffer())).iter_batches(READ_ROWS, use_threads=False):
-                    lists = rows.column("ids")
-                    values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
-                    sums = [zlib.crc32(values[s:e]) for s, e in zip(offsets[:-1], offsets[1:])]
-                    if (np.diff(offsets) != rows.column("n_tokens").to_numpy()).any():
-                        raise ValueError("a list's length differs from its n_tokens")
-                    yield batch(schema, **{c: rows.column(c) for c in ("part", "doc_id", "local_start", "n_tokens")}, ids_crc32=sums)
-
-    # Whole files, of the size of a range, are handed over as bytes and decoded in columns: no list is
-    # taken apart into rows on the way.
-    files = read_files(spark, folder)
-    contents = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("content")
-    rows = contents.mapInArrow(crc, "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+            lists = b.column("ids")
+            values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
+            if (np.diff(offsets) != b.column("n_tokens").to_numpy()).any():
+                raise ValueError("a list's length differs from its n_tokens")
+            sums = [zlib.crc32(values[s:e]) for s, e in zip(offsets[:-1], offsets[1:])]
+            yield batch(schema, **{c: b.column(c) for c in ("part", "doc_id", "local_start", "n_tokens")}, ids_crc32=sums)
+
+    rows = files.mapInArrow(crc, f"part int, doc_id {sql_id}, local_start long, n_tokens long, ids_crc32 long")
     return with_starts(rows, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

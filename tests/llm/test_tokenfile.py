@@ -1,9 +1,11 @@
+import glob
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronoweave.llm import tokenfile as tf
@@ -21,9 +23,11 @@ def test_files_round_trip(spark):
     folder = new_folder(spark, "t")
     tf.write_tokens(docs, folder, PATH, parts=5)
     got = sorted((tuple(r) for r in tf.checksums(spark, folder).collect()), key=lambda r: r[1])
+    assert len(glob.glob(folder.removeprefix("file://").removeprefix("file:") + "/part-*")) == 5
     tok = Tokenizer.from_file(PATH)
     start, want = 0, []
-    for i, t in sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (-1 if r[0] is None else r[0], r[1].encode())):
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t, _ in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    for i, t in sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (-1 if r[0] is None else r[0], hashed[r[1]])):
         ids = tok.encode(t, add_special_tokens=False).ids + [2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -34,12 +38,12 @@ def test_format_and_empty(spark, sf):
     folder = new_folder(spark, "t")
     tf.write_tokens(spark.read.parquet(f"{sf}/documents.parquet"), folder, PATH, parts=2)
     path = folder.removeprefix("file://").removeprefix("file:")
-    import glob
-
     column = pq.ParquetFile(glob.glob(f"{path}/part-*")[0]).metadata.row_group(0).column(4)
     assert any("DICTIONARY" in e for e in column.encodings) and column.has_offset_index and column.has_column_index
     plan = tf.read_tokens(spark, folder).select("doc_id", "start")._jdf.queryExecution().executedPlan().toString()
     assert "array<int>" not in plan
+    scans = tf.checksums(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert scans.count("ids:array<int>") == 1 and "binaryFile" not in scans
     folder = new_folder(spark, "t")
     tf.write_tokens(spark.createDataFrame([], "doc_id long, text string"), folder, PATH)
     assert tf.checksums(spark, folder).count() == 0
@@ -51,3 +55,24 @@ def test_table_bound(monkeypatch):
     texts = [f"word{k} and another{k % 7}, thing{k}.\n" * 3 for k in range(400)]
     assert encoder.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert len(encoder.held) <= 10
+
+
+def test_ranges_follow_bytes_and_a_repeated_id_is_split(spark, monkeypatch):
+    docs = spark.range(400).select(F.lit("same").alias("doc_id"), F.repeat(F.col("id").cast("string"), 50).alias("text"))
+    folder = new_folder(spark, "t")
+    monkeypatch.setattr(tf, "RANGE_BYTES", 2_000)
+    assert tf.ranges_of(docs) > 3
+    tf.write_tokens(docs, folder, PATH, parts=4)
+    rows = tf.read_tokens(spark, folder)
+    sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 250 and {r.doc_id for r in rows.collect()} == {"same"}
+
+
+def test_query_equals_the_library(spark, sf):
+    tok = Tokenizer.from_file(PATH)
+    start, want = 0, []
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids + [2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in tf.op4_tokenfile(spark, sf).collect()) == want
