@@ -14,15 +14,20 @@
    the members of large buckets an exact filter on rare shingles and a longer signature come first. So a
    bucket of thousands of near copies costs a few rows per member.
 
-With 32 bands of 4 minima a pair of similarity 0.75 shares no bucket with a chance of 5e-6; the estimate
-loses it with one of about 1e-4 (ESTIMATE lies 4 standard deviations below 0.75).
+With 32 bands of 4 minima a pair of similarity 0.75 shares no bucket with a chance of 5e-6. The estimates' bounds
+lie 5 standard deviations below 0.75: by the binomial tail ESTIMATE loses such a pair with a chance of 4e-6 and
+LONG_ESTIMATE with one of 1e-6. Pairs of higher similarity are lost more rarely by far. With ``exact=True`` nothing is
+estimated: every two classes of different components that share a bucket are confirmed, whatever the bucket's size.
+Large families of documents that are all just under the threshold of each other cost a candidate for almost
+every pair: no filter here tells 0.70 from 0.75 without a look at both.
 
 Classes are named by 64-bit hashes of their sets. Tables that several steps read are written to the
 shared folder. Nothing is collected but counts.
 
 Cases: null and empty texts have no shingles and stay alone; with fewer than five words the whole
 sequence is the one shingle; repeated rows and equal ids each give a row; a null doc_id takes part, is
-kept only if its component has no other id, and never names a component with one; an empty table
+kept only if its component has no other id, and never names a component with one; ids of any type keep it (the
+smallest is that of its order); an empty table
 gives no rows; other columns are not read by ``components`` and passed through by ``deduplicate``.
 """
 
@@ -34,17 +39,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, batch, materialize, release
+from .common import WORD_SEPARATORS, batch, id_types, materialize, release
 
 SHINGLE = 5
 HASHES, ROWS, BITS = 128, 4, 2
 PERCENT = 75
-ESTIMATE = 0.58
+ESTIMATE = 0.52
 #: Larger buckets give their last candidates by rare shingles instead of pair by pair.
 HOT_BUCKET = 32
-#: For their members: hashes of the longer signature, its estimate's bound (again 4 standard deviations
+#: For their members: hashes of the longer signature, its estimate's bound (again 5 standard deviations
 #: under 0.75), cells of the count sketch, and how many shingles a row carries to know a pair's first.
-LONG_HASHES, LONG_ESTIMATE, CELLS, EARLY = 512, 0.655, 1 << 16, 256
+LONG_HASHES, LONG_ESTIMATE, CELLS, EARLY = 512, 0.64, 1 << 16, 256
 BLOCK = 4_096
 _MULTIPLIERS = np.random.default_rng(20_240_601).integers(0, 2**64, HASHES, np.uint64) | np.uint64(1)
 _LONG = np.random.default_rng(20_240_608).integers(0, 2**64, LONG_HASHES, np.uint64) | np.uint64(1)
@@ -111,15 +116,17 @@ def estimate(a: str, b: str, signature: list[str] = SIGNATURE) -> Column:
     return (1 - unequal / (len(signature) * 64 // BITS) - chance) / (1 - chance)
 
 
-def likely(a: str, b: str) -> Column:
-    """The sets' sizes allow a link and the estimate is not well under the threshold."""
+def likely(a: str, b: str, exact: bool) -> Column:
+    """The sets' sizes allow a link and, unless exact, the estimate is not well under the threshold."""
     p, q = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (100 * F.least(p, q) >= PERCENT * F.greatest(p, q)) & (estimate(a, b) >= ESTIMATE)
+    sizes = 100 * F.least(p, q) >= PERCENT * F.greatest(p, q)
+    return sizes if exact else sizes & (estimate(a, b) >= ESTIMATE)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, node, the packed signature and band keys (null without shingles)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), *[(s, pa.int64()) for s in SIGNATURE], ("bands", pa.list_(pa.int64()))])
+    arrow_id, sql_id = id_types(docs)
+    schema = pa.schema([("doc_id", arrow_id), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), *[(s, pa.int64()) for s in SIGNATURE], ("bands", pa.list_(pa.int64()))])
 
     def sign(batches):
         for b in batches:
@@ -139,8 +146,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             rows["doc_id"], rows["text_hash"] = b.column("doc_id"), b.column("text_hash")
             yield batch(schema, **rows)
 
-    ddl = "doc_id long, text_hash long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", bands array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash")).mapInArrow(sign, ddl)
+    ddl = f"doc_id {sql_id}, text_hash long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", bands array<long>"
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(sign, ddl)
 
 
 def connect(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -168,8 +175,9 @@ def connect(spark: SparkSession, edges: DataFrame) -> DataFrame:
 class Links:
     """The state of the search: classes, buckets, sets, pairs that were looked at, components."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame):
+    def __init__(self, spark: SparkSession, docs: DataFrame, exact: bool):
         self.spark = spark
+        self.exact = exact
         self.docs = docs
         self.rows = materialize(spark, signatures(docs), "signatures")
         own = self.rows.where("n_shingles > 0")
@@ -199,7 +207,7 @@ class Links:
                         out["shingles"].append(found.tobytes())
                 yield batch(schema, **out)
 
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        texts = self.docs.select("doc_id", "text")
         # Texts are dealt out at every size: the wanted ids grow with the input.
         wanted = self.classes.select("node", "first_id").hint("merge")
         texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
@@ -226,7 +234,7 @@ class Links:
         rows = members.join(centre, "key").where("comp <> centre_comp").select("node", "centre").distinct()
         sig = self.classes.select("node", "n_shingles", *SIGNATURE)
         rows = rows.join(sig.alias("x"), "node").join(sig.select(F.col("node").alias("centre"), "n_shingles", *SIGNATURE).alias("y"), "centre")
-        rows = rows.where(likely("x", "y")).select(F.col("node"), F.col("centre"), estimate("x", "y").alias("e"))
+        rows = rows.where(likely("x", "y", self.exact)).select(F.col("node"), F.col("centre"), estimate("x", "y").alias("e"))
         best = rows.groupBy("node").agg(F.max(F.struct("e", "centre")).alias("c")).select("node", F.col("c.centre").alias("centre"))
         return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
@@ -234,9 +242,11 @@ class Links:
         """(a, b): pairs of different components that share a bucket and may be linked."""
         size = members.groupBy("key").agg(F.count("*").alias("n"))
         sized = members.join(size, "key")
-        rows = self.signed(sized.where(F.col("n") <= HOT_BUCKET))
+        rows = self.signed(sized if self.exact else sized.where(F.col("n") <= HOT_BUCKET))
         on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-        pairs = rows.alias("x").join(rows.alias("y"), on & likely("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        pairs = rows.alias("x").join(rows.alias("y"), on & likely("x", "y", self.exact)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        if self.exact:
+            return pairs.distinct()
         return pairs.union(self.across_hot(sized.where(F.col("n") > HOT_BUCKET).select("node", "comp").distinct())).distinct()
 
     def across_hot(self, nodes: DataFrame) -> DataFrame:
@@ -291,7 +301,7 @@ class Links:
         total = 3 * (F.col("x.n_shingles") + F.col("y.n_shingles"))
         enough = (7 * (F.col("x.n_shingles") - F.col("x.nth") + 1) >= total) & (7 * (F.col("y.n_shingles") - F.col("y.nth") + 1) >= total)
         # A pair is taken at its first common shingle, where both rows know theirs up to here.
-        first = F.coalesce(F.size(F.array_intersect("x.early", "y.early")) == 1, F.lit(True))
+        first = F.col("x.early").isNull() | F.col("y.early").isNull() | (F.size(F.array_intersect("x.early", "y.early")) == 1)
         on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rank") < F.col("y.rank")) & enough
         pairs = left.alias(x).join(rows.alias(y), on & (estimate(x, y, LONG_SIGNATURE) >= LONG_ESTIMATE) & first)
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
@@ -342,9 +352,9 @@ class Links:
         return rows.join(self.labels, "node", "left").select("doc_id", "text_hash", "n_shingles", "node", F.coalesce("label", "node").alias("comp"))
 
 
-def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def components(spark: SparkSession, docs: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, comp (the component's internal name)."""
-    rows = Links(spark, docs).find()
+    rows = Links(spark, docs, exact).find()
     least = materialize(spark, rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     rows = rows.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "comp", "node", "text_hash")
@@ -353,7 +363,7 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The input's rows and columns, one row of each group; rows without shingles all stay.
 
-    Of equal kept ids in a group, and of repeated rows, one stays."""
+    Of equal kept ids in a group, and of repeated rows, one stays: that with the least hash of all its columns."""
     rows = components(spark, docs).where("kept and comp is not null")
     chosen = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     chosen = chosen.select(_key(F.col("k.doc_id")).alias("_key"), F.col("k.text_hash").alias("_hash"))
@@ -361,10 +371,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     own = [f"_row_{k}" for k in range(len(names))]
     ours = docs.select(
         *[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)], _key(F.col("doc_id")).alias("_key"),
-        text_hash().alias("_hash"), F.coalesce(F.col("text").rlike(f"[^{WORD_SEPARATORS}]"), F.lit(False)).alias("_words"),
+        text_hash().alias("_hash"), row_hash(docs).alias("_row"), F.coalesce(F.col("text").rlike(f"[^{WORD_SEPARATORS}]"), F.lit(False)).alias("_words"),
     )
     # The join leaves equal keys in one partition, so numbering them needs no further exchange.
-    some = ours.where("_words").join(chosen, ["_key", "_hash"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(F.lit(0))))
+    some = ours.where("_words").join(chosen, ["_key", "_hash"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_row")))
     out = [F.col(o).alias(c) for c, o in zip(names, own)]
     return some.where("_nth = 1").select(*out).union(ours.where("not _words").select(*out))
 
@@ -373,6 +383,12 @@ def _key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.lit(""))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; maps, which have no hash, by their JSON."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*map(plain, docs.schema))
+
+
 def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 

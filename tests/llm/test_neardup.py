@@ -74,6 +74,47 @@ def test_large_buckets_of_unlinked_near_copies(spark, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
 
 
+def test_exact_setting(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(nd, "ESTIMATE", 2.0)
+    monkeypatch.setattr(nd, "HOT_BUCKET", 3)
+    got = [tuple(r)[:4] for r in nd.components(spark, docs, exact=True).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
+
+
+def test_long_texts_in_a_large_bucket_without_ansi(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HOT_BUCKET", 2)
+    monkeypatch.setattr(nd, "EARLY", 3)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(2500)]
+    rows = []
+    for k in range(14):
+        copy = list(base)
+        for i in rng.sample(range(2500), rng.randint(60, 150)):
+            copy[i] = f"x{rng.randint(0, 9999)}"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        got = [tuple(r)[:4] for r in nd.components(spark, docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", held)
+    assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
+
+
+def test_ties_are_decided_by_all_columns(spark):
+    rows = [(1, "a b c d e f", k, {"x": k}) for k in range(6)] + [(2, "q r s t u v", 0, None)]
+    kept = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, n int, m map<string,int>").repartition(3)
+        kept.add(str(sorted((r.doc_id, r.n) for r in nd.deduplicate(spark, docs).collect())))
+    assert len(kept) == 1
+    named = spark.createDataFrame([("b", "a b c d e f"), ("a", "a b c d e f")], "doc_id string, text string")
+    assert [r.doc_id for r in nd.deduplicate(spark, named).collect()] == ["a"]
+
+
 def test_deduplicate_keeps_columns(spark):
     rows = [(1, "a b c d e f", 5), (2, "a b c d e f", 6), (2, "other words in a text", 7), (3, None, 8), (3, None, 9), (1, "a b c d e f", 5)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, node int")
