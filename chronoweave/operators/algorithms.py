@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import spread
-from ..sources.storage import materialize, materialize_counting
+from ..sources.storage import materialize, materialize_counting, release
 from .edges import batches, both_ways, vertices, weights
 from .pregel import pregel
 
@@ -22,7 +22,7 @@ def pagerank(edges: DataFrame, tolerance: float = 1e-4, max_iter: int = 1000) ->
     done = pregel(
         state, weights(edges.select("src", "dst")),
         [("dst", F.col("src_delta") > tolerance, F.col("src_delta") * F.col("weight"))],
-        F.sum, {"pr": F.col("pr") + gain, "delta": gain}, "out", max_iter, {"delta": F.lit(0.0)},
+        F.sum, {"pr": F.col("pr") + gain, "delta": gain}, "out", max_iter, {"delta": F.lit(0.0)}, ("src",),
     )
     return done.select("id", "pr")
 
@@ -47,15 +47,18 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     pairs = materialize(spark, both_ways(edges.select("src", "dst")).distinct(), "pairs")
     first = pairs.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("label"))
-    labels = materialize(spark, first, "labels")
+    labels = written = materialize(spark, first, "labels")
     while True:
         near = pairs.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("low"))
         step = labels.join(near, "id").select("id", "label", F.least("label", "low").alias("low"))
         far = labels.select(F.col("id").alias("low"), F.col("label").alias("further"))
         step = step.join(far, "low").select("id", F.least("further", "low").alias("next"), "label")
         step, changed = materialize_counting(spark, step, "labels", F.col("next") != F.col("label"))
+        release(spark, written)
+        written = step
         labels = step.select("id", F.col("next").alias("label"))
         if not changed:
+            release(spark, pairs)
             return labels
 
 
@@ -109,6 +112,8 @@ def label_propagation(edges: DataFrame, steps: int) -> DataFrame:
         labels = votes.groupBy("id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
         if i % 4 == 3:
             labels = materialize(spark, labels, "labels")
+    labels = materialize(spark, labels, "labels")
+    pairs.unpersist()
     return labels
 
 
@@ -117,5 +122,5 @@ def hop_lengths(vertex: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFra
     far = 2**31 - 1
     return pregel(
         vertex, edges, [("dst", F.col("src_length") < far, F.col("src_length"))],
-        F.min, {"length": F.least("length", F.col("msg") + 1)}, "out", rounds,
+        F.min, {"length": F.least("length", F.col("msg") + 1)}, "out", rounds, None, ("src",),
     )

@@ -5,22 +5,19 @@ from __future__ import annotations
 from .queries import BATCH, BUCKETS, HORIZON, PARTS, SIM_N, TOP_BIT
 
 P31 = 2_147_483_647
-#: Rounds of the PageRank SQL that runs to its end: more than any of the tables takes, and a round in which no
+#: Rounds of the PageRank SQL: more than any of the tables takes, and a round in which no
 #: increase is over the tolerance adds nothing.
 ROUNDS = 100
 E0 = """e0 AS (SELECT o_orderkey + 1 AS seq, o_custkey AS src, (o_orderkey * 7919 + 13) % (SELECT count(*) FROM customer) AS dst,
   floor(epoch(o_orderdate))::BIGINT AS ts FROM orders)"""
 E1 = f"{E0}, e1 AS (SELECT * FROM e0 WHERE src <> dst)"
 E1D = f"{E1}, e AS (SELECT src, dst, max(ts) AS ts FROM e1 GROUP BY 1, 2)"
-E4 = f"{E1}, e4 AS (SELECT * FROM e1 WHERE ((seq - 1) * 31 + 7) % 97 < 5)"
-E4_WHOLE = f"{E1}, e4 AS (SELECT * FROM e1)"
-E4D = f"{E4}, e AS (SELECT src, dst, max(ts) AS ts FROM e4 GROUP BY 1, 2)"
-HALVES = f"""{E4}, old AS (SELECT src, dst, arg_max(ts, seq) AS ts FROM e4 WHERE seq % 2 = 0 GROUP BY 1, 2),
-new AS (SELECT src, dst, arg_max(ts, seq) AS ts FROM e4 WHERE seq % 2 = 1 GROUP BY 1, 2)"""
+HALVES = f"""{E1}, old AS (SELECT src, dst, arg_max(ts, seq) AS ts FROM e1 WHERE seq % 2 = 0 GROUP BY 1, 2),
+new AS (SELECT src, dst, arg_max(ts, seq) AS ts FROM e1 WHERE seq % 2 = 1 GROUP BY 1, 2)"""
 DEG = "deg AS (SELECT id, count(DISTINCT nbr) AS degree FROM (SELECT src AS id, dst AS nbr FROM e UNION ALL SELECT dst, src FROM e) GROUP BY 1)"
 ACT = "act AS (SELECT id, count(*) AS activity FROM (SELECT src AS id FROM e1 UNION ALL SELECT dst FROM e1) GROUP BY 1)"
 ENDS = "(SELECT seq, 0 AS side, src AS id, dst AS nbr FROM e1 UNION ALL SELECT seq, 1, dst, src FROM e1)"
-NEAR = """n AS (SELECT id, nbr, max(ts) AS ts FROM (SELECT src AS id, dst AS nbr, ts FROM e4 UNION ALL SELECT dst, src, ts FROM e4) GROUP BY 1, 2)"""
+NEAR = """n AS (SELECT id, nbr, max(ts) AS ts FROM (SELECT src AS id, dst AS nbr, ts FROM e1 UNION ALL SELECT dst, src, ts FROM e1) GROUP BY 1, 2)"""
 
 
 def spread(x: str, seed: int = 11) -> str:
@@ -51,7 +48,7 @@ FROM (SELECT {key}, filled, {alpha} * {m} * {m} / (power + {m} - filled) AS raw
   FROM (SELECT {key}, sum(pow(2.0, -register)) AS power, count(*) AS filled FROM {registers} GROUP BY 1))"""
 
 
-def pagerank(edges: str, tol: float, k: int = 10) -> str:
+def pagerank(edges: str, tol: float, k: int = ROUNDS) -> str:
     return f"""WITH RECURSIVE {E1D}, g AS ({edges}), v AS (SELECT src AS id FROM g UNION SELECT dst FROM g),
 od AS (SELECT src, count(*) AS k FROM g GROUP BY 1),
 r(i, id, pr, delta) AS (
@@ -74,7 +71,7 @@ FROM {edges} LEFT JOIN {stat} s ON s.id = src LEFT JOIN {stat} d ON d.id = dst""
 
 
 def exact(hops: int) -> str:
-    parts = [E4, NEAR, "p1 AS (SELECT id, 1 AS hop, nbr, ts FROM n)"]
+    parts = [E1, NEAR, "p1 AS (SELECT id, 1 AS hop, nbr, ts FROM n)"]
     for k in range(2, hops + 1):
         lower = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, k))
         parts.append(f"""t{k} AS (SELECT n.id, p.nbr, max(least(p.ts, n.ts)) AS ts FROM n JOIN p{k - 1} p ON p.id = n.nbr WHERE p.nbr <> n.id GROUP BY 1, 2),
@@ -89,7 +86,7 @@ def frontier(rows: str, keys: str) -> str:
 
 
 def approx(hops: int) -> str:
-    parts = [E4, NEAR, f"l1 AS (SELECT id, bucket, rank, max(ts) AS ts FROM ({elements('n')}) GROUP BY 1, 2, 3)"]
+    parts = [E1, NEAR, f"l1 AS (SELECT id, bucket, rank, max(ts) AS ts FROM ({elements('n')}) GROUP BY 1, 2, 3)"]
     for k in range(2, hops + 1):
         parts.append(f"l{k} AS (SELECT n.id, bucket, rank, max(least(l.ts, n.ts)) AS ts FROM n JOIN l{k - 1} l ON l.id = n.nbr GROUP BY 1, 2, 3)")
     union = " UNION ALL ".join(f"SELECT id, {k} AS hop, bucket, rank, ts FROM l{k}" for k in range(1, hops + 1))
@@ -97,7 +94,7 @@ def approx(hops: int) -> str:
 
 
 def label_propagation(steps: int) -> str:
-    parts = [E4D, "u AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e)", "l0 AS (SELECT DISTINCT a AS id, a AS label FROM u)"]
+    parts = [E1D, "u AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e)", "l0 AS (SELECT DISTINCT a AS id, a AS label FROM u)"]
     for k in range(1, steps + 1):
         parts.append(f"""l{k} AS (SELECT id, label FROM (SELECT b AS id, label, row_number() OVER (PARTITION BY b ORDER BY count(*) DESC, label) AS r
   FROM u JOIN l{k - 1} ON id = a GROUP BY b, label) WHERE r = 1)""")
@@ -107,7 +104,7 @@ def label_propagation(steps: int) -> str:
 def updates() -> str:
     """CTEs: e, deg, upd (updates), rep (replicas)."""
     grid = f"((({spread('src')}) % 3) * 3 + ({spread('dst')}) % 3) % {PARTS}"
-    return f"""{exact(3)}, e AS (SELECT src, dst, max(ts) AS ts FROM e4 GROUP BY 1, 2), {DEG},
+    return f"""{exact(3)}, e AS (SELECT src, dst, max(ts) AS ts FROM e1 GROUP BY 1, 2), {DEG},
 upd AS (SELECT id, count(DISTINCT hop) AS updates FROM p GROUP BY 1),
 rep AS (SELECT id, count(DISTINCT part) AS replicas FROM (SELECT src AS id, {grid} AS part FROM e UNION ALL SELECT dst, {grid} FROM e) GROUP BY 1)"""
 
@@ -119,13 +116,13 @@ FROM e JOIN deg sg ON sg.id = src JOIN deg dg ON dg.id = dst JOIN upd su ON su.i
   JOIN rep sr ON sr.id = src JOIN rep dr ON dr.id = dst"""
 
 
-REACH = """u AS (SELECT src AS a, dst AS b FROM e4 UNION SELECT dst, src FROM e4)"""
+REACH = """u AS (SELECT src AS a, dst AS b FROM e1 UNION SELECT dst, src FROM e1)"""
 DBH = f"WITH {E1D}, {DEG}, pl AS ({placed('deg', 'degree')})"
 NODES = "nd AS (SELECT DISTINCT part, id FROM (SELECT part, src AS id FROM pl UNION ALL SELECT part, dst FROM pl))"
 BOTH1 = "(SELECT src AS id, dst AS nbr, ts FROM e1 UNION ALL SELECT dst, src, ts FROM e1)"
 HLL = f"WITH {E1}, x AS ({elements(BOTH1)}), sk AS (SELECT id, bucket, rank, max(ts) AS ts FROM x GROUP BY 1, 2, 3)"
 RUNS = "r AS (SELECT o_orderpriority AS file, o_orderstatus AS algorithm, o_orderkey AS run, floor(o_totalprice * 100)::BIGINT AS ms, o_custkey * 37 % 1009 AS partition_ms FROM orders)"
-LENGTHS = f"(SELECT id FROM (SELECT src AS id FROM e4 UNION SELECT dst FROM e4) ORDER BY {spread('id')}, id LIMIT 20)"
+LENGTHS = f"(SELECT id FROM (SELECT src AS id FROM e1 UNION SELECT dst FROM e1) ORDER BY {spread('id')}, id LIMIT 20)"
 RUNNING = f"""x AS {ENDS}, f AS (SELECT *, (row_number() OVER (PARTITION BY id, nbr ORDER BY seq, side) = 1)::BIGINT AS new FROM x),
 run AS (SELECT seq, id, activity, degree FROM (SELECT seq, side, id, count(*) OVER w AS activity, sum(new) OVER w AS degree,
   row_number() OVER (PARTITION BY id, seq ORDER BY side DESC) AS k FROM f WINDOW w AS (PARTITION BY id ORDER BY seq, side ROWS UNBOUNDED PRECEDING)) WHERE k = 1)"""
@@ -154,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
         "node_activity": simple(f"{E1}, {ACT}", "SELECT * FROM act"),
         "running_activity": simple(f"{E1}, {RUNNING}", "SELECT seq, id, activity FROM run"),
         "running_degree": simple(f"{E1}, {RUNNING}", "SELECT seq, id, degree::BIGINT AS degree FROM run"),
-        "batch_id": simple(E4, "SELECT s AS seq, src, dst, ts, ((s - 1) // 100)::BIGINT AS batch_id FROM (SELECT row_number() OVER (ORDER BY seq) AS s, src, dst, ts FROM e4)"),
+        "batch_id": simple(E1, "SELECT s AS seq, src, dst, ts, ((s - 1) // 100)::BIGINT AS batch_id FROM (SELECT row_number() OVER (ORDER BY seq) AS s, src, dst, ts FROM e1)"),
         "edge_weights": simple(E1D, "SELECT src, dst, round(1.0::DOUBLE / count(*) OVER (PARTITION BY src), 9) AS weight FROM e"),
         "degree_predictor": simple(f"{E1}, {RUNNING}, fin AS (SELECT id, count(DISTINCT nbr) AS final FROM x GROUP BY 1)", """
 SELECT count(*) FILTER (a) AS activity_correct, count(*) FILTER (NOT a) AS activity_wrong, count(*) FILTER (g) AS degree_correct, count(*) FILTER (NOT g) AS degree_wrong, count(*) AS total
@@ -165,17 +162,14 @@ SELECT a.seq * 2 + 1, b.src, b.dst, b.ts FROM e0 a JOIN e0 b ON b.seq = ({spread
         "pagerank": pagerank("SELECT src, dst FROM e", 1e-4),
         "pagerank_coarse": pagerank("SELECT src, dst FROM e", 1e-2),
         "pagerank_topk": pagerank("SELECT dst AS src, src AS dst FROM e", 1e-4) + " ORDER BY pr DESC, id LIMIT 50",
-        "pagerank_whole": pagerank("SELECT src, dst FROM e", 1e-4, ROUNDS),
-        "pagerank_coarse_whole": pagerank("SELECT src, dst FROM e", 1e-2, ROUNDS),
-        "pagerank_topk_whole": pagerank("SELECT dst AS src, src AS dst FROM e", 1e-4, ROUNDS) + " ORDER BY pr DESC, id LIMIT 50",
-        "connected_components": f"WITH RECURSIVE {E4}, {REACH}, r AS (SELECT a AS id, b AS o FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.o) SELECT id, least(id, min(o)) AS label FROM r GROUP BY 1",
-        "cc_capped": f"WITH RECURSIVE {E4}, {REACH}, r AS (SELECT a AS id, b AS o, 1 AS d FROM u UNION SELECT r.id, u.b, d + 1 FROM r JOIN u ON u.a = r.o WHERE d < 3) SELECT id, least(id, min(o)) AS label FROM r GROUP BY 1",
-        "cc_batches": f"""WITH RECURSIVE {E4}, bt AS (SELECT *, ((seq - 1) // {BATCH})::BIGINT AS b0 FROM e4), m AS (SELECT unnest(range(0, (SELECT max(b0) + 1 FROM bt))) AS b),
+        "connected_components": f"WITH RECURSIVE {E1}, {REACH}, r AS (SELECT a AS id, b AS o FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.o) SELECT id, least(id, min(o)) AS label FROM r GROUP BY 1",
+        "cc_capped": f"WITH RECURSIVE {E1}, {REACH}, r AS (SELECT a AS id, b AS o, 1 AS d FROM u UNION SELECT r.id, u.b, d + 1 FROM r JOIN u ON u.a = r.o WHERE d < 3) SELECT id, least(id, min(o)) AS label FROM r GROUP BY 1",
+        "cc_batches": f"""WITH RECURSIVE {E1}, bt AS (SELECT *, ((seq - 1) // {BATCH})::BIGINT AS b0 FROM e1), m AS (SELECT unnest(range(0, (SELECT max(b0) + 1 FROM bt))) AS b),
 u AS (SELECT b, src AS x, dst AS y FROM bt JOIN m ON b0 <= b UNION SELECT b, dst, src FROM bt JOIN m ON b0 <= b),
 r AS (SELECT b, x AS id, y AS o FROM u UNION SELECT r.b, r.id, u.y FROM r JOIN u ON u.b = r.b AND u.x = r.o) SELECT b AS batch_id, id, least(id, min(o)) AS label FROM r GROUP BY 1, 2""",
-        "landmark_sample": simple(E4, f"SELECT * FROM {LENGTHS}"),
-        "shortest_paths": f"""WITH RECURSIVE {E4}, lm AS {LENGTHS}, r AS (SELECT id, id AS landmark, 0::BIGINT AS d FROM lm
-UNION SELECT src, r.landmark, d + 1 FROM r JOIN e4 ON dst = r.id WHERE d < 20) SELECT id, landmark, min(d) AS dist FROM r GROUP BY 1, 2""",
+        "landmark_sample": simple(E1, f"SELECT * FROM {LENGTHS}"),
+        "shortest_paths": f"""WITH RECURSIVE {E1}, lm AS {LENGTHS}, r AS (SELECT id, id AS landmark, 0::BIGINT AS d FROM lm
+UNION SELECT src, r.landmark, d + 1 FROM r JOIN e1 ON dst = r.id WHERE d < 20) SELECT id, landmark, min(d) AS dist FROM r GROUP BY 1, 2""",
         "label_propagation": f"WITH {label_propagation(3)}",
         "toy_length": "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT), (1, 1), (2, 2), (3, 1)) t(id, length)",
         "profile_exact": simple(exact(3), "SELECT * FROM p"),
@@ -183,8 +177,8 @@ UNION SELECT src, r.landmark, d + 1 FROM r JOIN e4 ON dst = r.id WHERE d < 20) S
         "profile_output": f"""WITH {exact(3)}, dg AS (SELECT id, count(*) AS degree FROM n GROUP BY 1), sz AS (SELECT id, count(DISTINCT nbr) AS size FROM p WHERE ts > {HORIZON} GROUP BY 1),
 up AS (SELECT id, count(DISTINCT hop) AS updates FROM p GROUP BY 1)
 SELECT id, coalesce(size, 0) AS profile_size, coalesce(updates, 0) AS update_count, degree FROM dg LEFT JOIN sz USING (id) LEFT JOIN up USING (id)""",
-        "landmark_maps": f"""WITH RECURSIVE {E4}, lm AS {LENGTHS}, r AS (SELECT id, id AS landmark, 0::BIGINT AS d FROM lm
-UNION SELECT src, r.landmark, d + 1 FROM r JOIN e4 ON dst = r.id WHERE d < 20), m AS (SELECT id, landmark, min(d) AS dist FROM r GROUP BY 1, 2)
+        "landmark_maps": f"""WITH RECURSIVE {E1}, lm AS {LENGTHS}, r AS (SELECT id, id AS landmark, 0::BIGINT AS d FROM lm
+UNION SELECT src, r.landmark, d + 1 FROM r JOIN e1 ON dst = r.id WHERE d < 20), m AS (SELECT id, landmark, min(d) AS dist FROM r GROUP BY 1, 2)
 SELECT id, count(*)::INT AS landmarks, max(dist) AS farthest FROM m GROUP BY 1""",
         "batch_quality": f"""WITH {E1}, pl AS (SELECT (seq - 1) // {BATCH} AS batch_id, src, dst, ((({spread('src')}) % 3) * 3 + ({spread('dst')}) % 3) % {PARTS} AS part FROM e1),
 nd AS (SELECT batch_id, id, count(DISTINCT part) AS r FROM (SELECT batch_id, part, src AS id FROM pl UNION ALL SELECT batch_id, part, dst FROM pl) GROUP BY 1, 2),
@@ -214,7 +208,7 @@ SELECT batch_id::BIGINT AS batch_id, edges, relative_sd, replication_factor FROM
         "part_idbh": f"{DBH} SELECT * FROM pl",
         "part_abh": f"WITH {E1D}, {ACT} {placed('act', 'activity')}",
         "part_rabh": f"WITH {E1D}, {ACT} {placed('act', 'activity', '>')}",
-        "part_nph": f"WITH {exact(3)}, e AS (SELECT src, dst, max(ts) AS ts FROM e4 GROUP BY 1, 2), sz AS (SELECT id, count(DISTINCT nbr) AS size FROM p WHERE ts > 0 GROUP BY 1) {placed('sz', 'size')}",
+        "part_nph": f"WITH {exact(3)}, e AS (SELECT src, dst, max(ts) AS ts FROM e1 GROUP BY 1, 2), sz AS (SELECT id, count(DISTINCT nbr) AS size FROM p WHERE ts > 0 GROUP BY 1) {placed('sz', 'size')}",
         "part_ubh": by_updates("su.updates", "du.updates"),
         "part_ubh_adv": by_updates("su.updates * sr.replicas", "du.updates * dr.replicas"),
         "part_ubh_rev": by_updates("-su.updates", "-du.updates"),
@@ -244,6 +238,4 @@ FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1"
         "token_filter": "SELECT token FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE length(token) > 5",
         "token_top5": "SELECT token FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE length(token) > 5 ORDER BY token DESC LIMIT 5",
     }
-    # The same SQL over every edge.
-    whole = {f"{name}_whole": sql.replace(E4, E4_WHOLE) for name, sql in found.items() if E4 in sql}
-    return found | whole
+    return found

@@ -27,10 +27,6 @@ def _e1d(spark: SparkSession, d: str) -> DataFrame:
     return eg.dedup_max(_e1(spark, d))
 
 
-def _e4(spark: SparkSession, d: str) -> DataFrame:
-    return src.sparse(_e1(spark, d))
-
-
 def _halves(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return eg.dedup_last(e.where("seq % 2 = 0")), eg.dedup_last(e.where("seq % 2 = 1"))
 
@@ -136,38 +132,31 @@ def _simulate(s: SparkSession, d: str) -> DataFrame:
     return s.range(1, 31).select(F.col("id").alias("k")).select("k", F.round(sketch.register_probability(k, F.lit(SIM_N), BUCKETS), 9).alias("p"))
 
 
-def _over(graph) -> dict:
-    """The queries whose SQL was written for the sparse graph, over any graph."""
+def queries() -> dict:
     return {
-        "edge_replace": lambda s, d: eg.replace(*_halves(graph(s, d))),
-        "batch_touched_vertices": lambda s, d: eg.touched(*_halves(graph(s, d))),
-        "new_vertices": lambda s, d: eg.unseen(*_halves(graph(s, d))),
-        "batch_id": lambda s, d: eg.batches(src.with_seq(graph(s, d).withColumnRenamed("seq", "arrival"), "arrival"), 100).select("seq", "src", "dst", "ts", "batch_id"),
-        "connected_components": lambda s, d: algorithms.components(graph(s, d)),
-        "cc_capped": lambda s, d: algorithms.components_capped(graph(s, d), 3),
-        "cc_batches": lambda s, d: algorithms.components_by_batch(graph(s, d), BATCH),
-        "landmark_sample": lambda s, d: algorithms.landmarks(eg.vertices(graph(s, d)), 20),
-        "shortest_paths": lambda s, d: algorithms.shortest_paths(graph(s, d), algorithms.landmarks(eg.vertices(graph(s, d)), 20), 20),
-        "label_propagation": lambda s, d: algorithms.label_propagation(eg.dedup_max(graph(s, d)), 3),
-        "profile_exact": lambda s, d: pf.exact(graph(s, d), 3),
-        "profile_size": lambda s, d: pf.sizes(pf.exact(graph(s, d), 3), 0),
-        "profile_output": lambda s, d: ex.profile_output(pf.exact(graph(s, d), 3), eg.degree_undirected(graph(s, d)), HORIZON),
-        "landmark_maps": lambda s, d: ex.landmark_maps(algorithms.shortest_paths(graph(s, d), algorithms.landmarks(eg.vertices(graph(s, d)), 20), 20)).select(
+        "edge_replace": lambda s, d: eg.replace(*_halves(_e1(s, d))),
+        "batch_touched_vertices": lambda s, d: eg.touched(*_halves(_e1(s, d))),
+        "new_vertices": lambda s, d: eg.unseen(*_halves(_e1(s, d))),
+        "batch_id": lambda s, d: eg.batches(src.with_seq(_e1(s, d).withColumnRenamed("seq", "arrival"), "arrival"), 100).select("seq", "src", "dst", "ts", "batch_id"),
+        "connected_components": lambda s, d: algorithms.components(_e1(s, d)),
+        "cc_capped": lambda s, d: algorithms.components_capped(_e1(s, d), 3),
+        "cc_batches": lambda s, d: algorithms.components_by_batch(_e1(s, d), BATCH),
+        "landmark_sample": lambda s, d: algorithms.landmarks(eg.vertices(_e1(s, d)), 20),
+        "shortest_paths": lambda s, d: algorithms.shortest_paths(_e1(s, d), algorithms.landmarks(eg.vertices(_e1(s, d)), 20), 20),
+        "label_propagation": lambda s, d: algorithms.label_propagation(eg.dedup_max(_e1(s, d)), 3),
+        "profile_exact": lambda s, d: pf.exact(_e1(s, d), 3),
+        "profile_size": lambda s, d: pf.sizes(pf.exact(_e1(s, d), 3), 0),
+        "profile_output": lambda s, d: ex.profile_output(pf.exact(_e1(s, d), 3), eg.degree_undirected(_e1(s, d)), HORIZON),
+        "landmark_maps": lambda s, d: ex.landmark_maps(algorithms.shortest_paths(_e1(s, d), algorithms.landmarks(eg.vertices(_e1(s, d)), 20), 20)).select(
             "id", F.size("distances").alias("landmarks"), F.array_max(F.map_values("distances")).alias("farthest")),
-        "profile_window_exact": lambda s, d: pf.sizes(pf.exact(graph(s, d), 3), HORIZON),
-        "profile_window_approx": lambda s, d: pf.estimate(pf.merge_sketches(_sketch(graph(s, d), 2), "id"), HORIZON, BUCKETS, "id"),
-        "profile_approx": lambda s, d: _sketch(graph(s, d), 3),
-        "profile_stream": lambda s, d: _stream_profile(s, graph(s, d)),
-        "part_nph": lambda s, d: _nph(graph(s, d)),
-        "part_ubh": _updates(graph, "higher"),
-        "part_ubh_adv": _updates(graph, "advanced"),
-        "part_ubh_rev": _updates(graph, "lower"),
-    }
-
-
-def queries() -> dict:
-    whole = {f"{name}_whole": query for name, query in _over(_e1).items()}
-    return _over(_e4) | whole | {
+        "profile_window_exact": lambda s, d: pf.sizes(pf.exact(_e1(s, d), 3), HORIZON),
+        "profile_window_approx": lambda s, d: pf.estimate(pf.merge_sketches(_sketch(_e1(s, d), 2), "id"), HORIZON, BUCKETS, "id"),
+        "profile_approx": lambda s, d: _sketch(_e1(s, d), 3),
+        "profile_stream": lambda s, d: _stream_profile(s, _e1(s, d)),
+        "part_nph": lambda s, d: _nph(_e1(s, d)),
+        "part_ubh": _updates(_e1, "higher"),
+        "part_ubh_adv": _updates(_e1, "advanced"),
+        "part_ubh_rev": _updates(_e1, "lower"),
         "edge_scan": lambda s, d: src.user_order(s, d),
         "event_pairs": lambda s, d: src.event_pairs(s, d),
         "drop_self_loops": lambda s, d: _e1(s, d),
@@ -186,12 +175,9 @@ def queries() -> dict:
         "edge_weights": lambda s, d: eg.weights(_e1d(s, d).select("src", "dst")).select("src", "dst", F.round("weight", 9).alias("weight")),
         "degree_predictor": lambda s, d: eg.predictor_tally(_e1(s, d)),
         "repeat_edges": lambda s, d: src.repeat_edges(src.user_order(s, d)),
-        "pagerank": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-4, 10).select("id", F.round("pr", 6).alias("pr")),
-        "pagerank_coarse": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-2, 10).select("id", F.round("pr", 6).alias("pr")),
-        "pagerank_topk": lambda s, d: algorithms.top(algorithms.pagerank(eg.reverse(_e1d(s, d)), 1e-4, 10).select("id", F.round("pr", 6).alias("pr"))),
-        "pagerank_whole": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-4).select("id", F.round("pr", 6).alias("pr")),
-        "pagerank_coarse_whole": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-2).select("id", F.round("pr", 6).alias("pr")),
-        "pagerank_topk_whole": lambda s, d: algorithms.top(algorithms.pagerank(eg.reverse(_e1d(s, d)), 1e-4).select("id", F.round("pr", 6).alias("pr"))),
+        "pagerank": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-4).select("id", F.round("pr", 6).alias("pr")),
+        "pagerank_coarse": lambda s, d: algorithms.pagerank(_e1d(s, d), 1e-2).select("id", F.round("pr", 6).alias("pr")),
+        "pagerank_topk": lambda s, d: algorithms.top(algorithms.pagerank(eg.reverse(_e1d(s, d)), 1e-4).select("id", F.round("pr", 6).alias("pr"))),
         "toy_length": _toy,
         "batch_quality": lambda s, d: ex.batch_quality(eg.batches(_e1(s, d), BATCH).withColumn("part", pt.hash_strategy("EdgePartition2D", PARTS))),
         "part_lookup": lambda s, d: pt.lookup(_e1d(s, d), _placed(s, d).where("src % 3 = 0"), PARTS).select("src", "dst", "part"),

@@ -101,11 +101,6 @@ def user_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") + 1).alias("seq"), F.col("o_custkey").alias("src"), dst.alias("dst"), seconds(orders, "o_orderdate").cast("long").alias("ts"))
 
 
-def sparse(edges: DataFrame) -> DataFrame:
-    """About a twentieth of the user-order edges."""
-    return edges.where(((F.col("seq") - 1) * 31 + 7) % 97 < 5)
-
-
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, src, dst, ts: the users of neighbouring events."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.edges import endpoints
 from ..operators.profile import latest
-from ..sources.storage import materialize
+from ..sources.storage import delete_folder, folders, materialize, release, write_table
 
 PAIR = "id long, nbr long, ts long"
 ROW = "id long, hop int, nbr long, ts long"
@@ -39,6 +39,7 @@ def update(pairs: DataFrame, profile: DataFrame, batch: DataFrame, hops: int) ->
     fresh = materialize(spark, _improved(latest(batch), pairs, ["id", "nbr"]), "fresh")
     pairs = materialize(spark, _merged(pairs, fresh, ["id", "nbr"]).select("id", "nbr", "ts"), "pairs")
     change = fresh
+    spent = [fresh]
     levels = [_merged(profile.where("hop = 1").drop("hop"), fresh, ["id", "nbr"])]
     edge = lambda f: f.select("id", F.col("nbr").alias("via"), F.col("ts").alias("edge_ts"))
     below = lambda f: f.select(F.col("id").alias("via"), "nbr", "ts")
@@ -48,11 +49,15 @@ def update(pairs: DataFrame, profile: DataFrame, batch: DataFrame, hops: int) ->
         old = profile.where(F.col("hop") == hop).drop("hop")
         change = materialize(spark, _improved(step, old, ["id", "nbr"]), "change")
         levels.append(materialize(spark, _merged(old, change, ["id", "nbr"]), "level"))
+        spent += [change, levels[-1]]
     out = None
     for hop, level in enumerate(levels, 1):
         rows = level.select("id", F.lit(hop).alias("hop"), "nbr", "ts")
         out = rows if out is None else out.unionByName(rows)
-    return pairs, materialize(spark, out, "profile")
+    profile = materialize(spark, out, "profile")
+    for table in spent:
+        release(spark, table)
+    return pairs, profile
 
 
 def undominated(profile: DataFrame) -> DataFrame:
@@ -62,16 +67,50 @@ def undominated(profile: DataFrame) -> DataFrame:
 
 
 class ProfileStream:
-    """Maintains a profile from a stream of edges; `profile` holds the state after the last batch."""
+    """Maintains a profile from a stream of edges; `profile` holds the state after the last batch.
 
-    def __init__(self, spark: SparkSession, hops: int = 3):
-        self.hops = hops
+    Started with a checkpoint folder, the state after each batch is written under it by the batch's number. A
+    restarted stream goes on from there; a batch that is run again, because the stream ended before it was
+    committed, starts from the state before it. The states of the last two batches are kept."""
+
+    def __init__(self, spark: SparkSession, hops: int = 3, folder: str | None = None):
+        self.spark, self.hops, self.folder, self.number = spark, hops, folder, -1
         self.pairs, self.profile = empty_state(spark)
+        if folder:
+            self._load(2**62)
+
+    def _kept(self) -> list[int]:
+        """The numbers of the batches whose state is complete."""
+        return sorted(int(n) for n in folders(self.spark, self.folder) if n.isdigit() and "_SUCCESS" in folders(self.spark, f"{self.folder}/{n}/profile"))
+
+    def _load(self, before: int) -> None:
+        """The state after the last batch before a number."""
+        found = [n for n in self._kept() if n < before]
+        self.number = found[-1] if found else -1
+        if found:
+            self.pairs, self.profile = (self.spark.read.schema(s).parquet(f"{self.folder}/{self.number}/{t}") for t, s in (("pairs", PAIR), ("profile", ROW)))
+        else:
+            self.pairs, self.profile = empty_state(self.spark)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        self.pairs, self.profile = update(self.pairs, self.profile, batch, self.hops)
+        if self.folder and self.number >= batch_id:
+            self._load(batch_id)
+        pairs, profile = update(self.pairs, self.profile, batch, self.hops)
+        if self.folder:
+            # The profile is written last: with it the state is complete.
+            made = [write_table(self.spark, t, f"{self.folder}/{batch_id}/{n}") for n, t in (("pairs", pairs), ("profile", profile))]
+            for t in (pairs, profile):
+                release(self.spark, t)
+            pairs, profile = made
+            for old in self._kept():
+                if old < batch_id - 1:
+                    delete_folder(self.spark, f"{self.folder}/{old}")
+        self.pairs, self.profile, self.number = pairs, profile, batch_id
 
     def start(self, edges: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+        if not self.folder:
+            self.folder = f"{checkpoint.rstrip('/')}/profile-state"
+            self._load(2**62)
         return edges.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 

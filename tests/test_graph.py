@@ -216,3 +216,35 @@ def test_exports_and_parsing(spark, five):
     n = spark.range(2000).select(sketch.simulated_register(F.rand(3), F.lit(1000), 64).alias("k"))
     share = n.where("k <= 4").count() / 2000
     assert abs(share - (1 - 1 / (16 * 64)) ** 1000) < 0.04
+
+
+def test_a_restarted_stream_goes_on(spark, tmp_path):
+    from chronoweave.streaming.profiles import ProfileStream, undominated
+
+    source, checkpoint = tmp_path / "in", f"file://{tmp_path}/check"
+    source.mkdir()
+    (source / "a.csv").write_text("1,2,10\n2,3,5\n")
+    first = ProfileStream(spark, 2)
+    first.start(src.stream_edges(spark, f"file://{source}"), checkpoint).awaitTermination()
+    (source / "b.csv").write_text("3,4,20\n")
+    again = ProfileStream(spark, 2)
+    again.start(src.stream_edges(spark, f"file://{source}"), checkpoint).awaitTermination()
+    pairs, whole = st.empty_state(spark)
+    _, whole = st.update(pairs, whole, spark.createDataFrame([(1, 2, 10), (2, 3, 5), (3, 4, 20)], "src long, dst long, ts long"), 2)
+    want = sorted(map(tuple, undominated(whole).collect()))
+    assert sorted(map(tuple, undominated(again.profile).collect())) == want
+    # A batch that is run again starts from the state before it.
+    again(spark.createDataFrame([(3, 4, 20)], "src long, dst long, ts long"), again.number)
+    assert sorted(map(tuple, undominated(again.profile).collect())) == want
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from chronoweave.sources import storage
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(
+        getConf=lambda: SimpleNamespace(get=lambda k: None), master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError):
+        storage.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))

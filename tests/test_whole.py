@@ -21,13 +21,13 @@ def test_components_of_every_edge(spark, sf, edges):
     for s, d in edges:
         a, b = sorted((find(s), find(d)))
         root[b] = a
-    got = {r.id: r.label for r in queries()["connected_components_whole"](spark, sf).collect()}
+    got = {r.id: r.label for r in queries()["connected_components"](spark, sf).collect()}
     assert got == {v: find(v) for v in root}
 
 
 def test_whole_reads_every_edge(spark, sf, edges):
-    assert queries()["batch_id_whole"](spark, sf).count() == len(edges)
-    assert queries()["edge_replace_whole"](spark, sf).count() == len(set(edges))
+    assert queries()["batch_id"](spark, sf).count() == len(edges)
+    assert queries()["edge_replace"](spark, sf).count() == len(set(edges))
 
 
 def test_pagerank_ends_by_tolerance(spark, sf, edges):
@@ -46,5 +46,5 @@ def test_pagerank_ends_by_tolerance(spark, sf, edges):
         delta = got
         for v, x in got.items():
             rank[v] += x
-    found = {r.id: r.pr for r in queries()["pagerank_whole"](spark, sf).collect()}
+    found = {r.id: r.pr for r in queries()["pagerank"](spark, sf).collect()}
     assert found == pytest.approx(rank, abs=2e-6)
