@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import spread
+from ..sources.edges import JobConfig
 from ..sources.storage import materialize, materialize_counting, release
 from .edges import batches, both_ways, vertices, weights
 from .pregel import pregel
@@ -124,3 +125,16 @@ def hop_lengths(vertex: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFra
         vertex, edges, [("dst", F.col("src_length") < far, F.col("src_length"))],
         F.min, {"length": F.least("length", F.col("msg") + 1)}, "out", rounds, None, ("src",),
     )
+
+
+def run(edges: DataFrame, config: JobConfig) -> DataFrame:
+    """The result of the algorithm that a configuration names: PR, CC, SP or LP."""
+    named = {
+        "PR": lambda: pagerank(edges, config.tolerance, config.max_iterations),
+        "CC": lambda: components(edges),
+        "SP": lambda: shortest_paths(edges, landmarks(vertices(edges), config.landmarks), config.max_iterations),
+        "LP": lambda: label_propagation(edges, config.max_iterations),
+    }
+    if config.algorithm not in named:
+        raise ValueError(f"unknown algorithm {config.algorithm}")
+    return named[config.algorithm]()

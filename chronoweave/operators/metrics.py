@@ -41,6 +41,55 @@ def metric(accumulables: Column, name: str) -> Column:
     return F.aggregate(named, F.lit(0).cast("long"), lambda t, a: t + F.coalesce(a["Value"].try_cast("bigint"), F.lit(0)))
 
 
+#: The columns of the stage counters, and the metrics of Spark's event log that fill them.
+COUNTERS = (
+    "StageId", "StageName", "vpCounter", "sendCounter", "mergeCounter", "executorRunTime", "executorDeserializeTime", "jvmGCTime",
+    "remoteBytesRead", "remoteBlocksFetched", "fetchWaitTime", "localBlocksFetched", "localBytesRead", "recordsRead",
+    "bytesWritten", "writeTime", "recordsWritten", "inputbytesRead", "inputRecordsRead", "outputBytesWritten", "outputRecordsWritten", "stageTime",
+)
+METRICS = {
+    "executorRunTime": "executorRunTime", "executorDeserializeTime": "executorDeserializeTime", "jvmGCTime": "jvmGCTime",
+    "remoteBytesRead": "shuffle.read.remoteBytesRead", "remoteBlocksFetched": "shuffle.read.remoteBlocksFetched",
+    "fetchWaitTime": "shuffle.read.fetchWaitTime", "localBlocksFetched": "shuffle.read.localBlocksFetched",
+    "localBytesRead": "shuffle.read.localBytesRead", "recordsRead": "shuffle.read.recordsRead",
+    "bytesWritten": "shuffle.write.bytesWritten", "writeTime": "shuffle.write.writeTime", "recordsWritten": "shuffle.write.recordsWritten",
+    "inputbytesRead": "input.bytesRead", "inputRecordsRead": "input.recordsRead",
+    "outputBytesWritten": "output.bytesWritten", "outputRecordsWritten": "output.recordsWritten",
+}
+
+
+def stage_counters(stages: DataFrame, counters: tuple[str, str, str] = ("vpCounter", "sendCounter", "mergeCounter")) -> DataFrame:
+    """One row of 22 columns per stage: its counters, by the names of three accumulators, its metrics and its time."""
+    named = dict(zip(("vpCounter", "sendCounter", "mergeCounter"), counters)) | {c: f"internal.metrics.{m}" for c, m in METRICS.items()}
+    fixed = {"StageId": F.col("stage_id"), "StageName": F.col("name"), "stageTime": F.col("ms")}
+    return stages.select(*[fixed.get(c, metric(F.col("accumulables"), named.get(c, ""))).alias(c) for c in COUNTERS])
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """Stage counters from comma-separated lines; the header, and lines without exactly 22 fields, are left out."""
+    cells = F.split("value", ",")
+    rows = spark.read.text(path).where((F.size(cells) == len(COUNTERS)) & (F.trim(cells[0]) != COUNTERS[0])).select(cells.alias("c"))
+    text = {"StageName"}
+    return rows.select(*[(F.trim(F.col("c")[k]) if c in text else F.trim(F.col("c")[k]).try_cast("bigint")).alias(c) for k, c in enumerate(COUNTERS)])
+
+
+def stage_detail(stages: DataFrame) -> DataFrame:
+    """phase, stage_id, ms in the order of phases and stages."""
+    return stages.select("phase", "stage_id", "ms").orderBy("phase", "stage_id")
+
+
+def job_detail(spark: SparkSession, path: str) -> DataFrame:
+    """job_id, name, ms, end, start, stage_ids of the jobs that an event log has from start to end."""
+    schema = "Event string, `Job ID` bigint, `Submission Time` bigint, `Completion Time` bigint, `Stage Infos` array<struct<`Stage ID`: bigint, `Stage Name`: string>>"
+    rows = spark.read.text(path).select(F.from_json("value", schema).alias("e")).select("e.*")
+    infos = F.col("Stage Infos")
+    begun = rows.where("Event = 'SparkListenerJobStart'").select(
+        F.col("Job ID").alias("job_id"), F.col("Submission Time").alias("start"), F.get(F.array_sort(infos), F.size(infos) - 1)["Stage Name"].alias("name"),
+        F.array_sort(F.transform(infos, lambda x: x["Stage ID"])).alias("stage_ids"))
+    ended = rows.where("Event = 'SparkListenerJobEnd'").select(F.col("Job ID").alias("job_id"), F.col("Completion Time").alias("end"))
+    return begun.join(ended, "job_id").select("job_id", "name", (F.col("end") - F.col("start")).alias("ms"), "end", "start", "stage_ids")
+
+
 def shuffle_mb(stages: DataFrame) -> DataFrame:
     """phase, stages, remote_mb: whole megabytes read from other machines, by phase."""
     rows = stages.withColumn("bytes", metric(F.col("accumulables"), REMOTE_READ))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import home, spread, spread_pair
 from ..sources.edges import with_seq
 from ..sources.storage import materialize
-from .edges import activity, endpoints, running
+from .edges import activity, degree_undirected, endpoints, running
+from .profile import exact, sizes, update_counts
 
 #: Edges or vertices that one task places at most.
 BLOCK = 1_000_000
@@ -234,27 +235,119 @@ def load_rsd(load: DataFrame, column: str = "edges") -> DataFrame:
     return load.agg(F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"), F.round(sd * 100 / mean, 6).alias("rsd"))
 
 
-def offline_quality(edges: DataFrame, parts: int, batch: int, statistic: str = "degree") -> DataFrame:
-    """count, rf, rft, min_load, max_load after every ``batch`` edges, when each edge goes by the statistics as
-    they stand at its arrival (the end that is lower decides); of equal edges the last placement holds."""
-    now = running(edges)
+#: The rules that offline_quality evaluates: the running statistic and the end that decides, or None for a
+#: strategy that needs no statistic.
+OFFLINE = {
+    "DBH": ("degree", lower_end), "ABH": ("activity", lower_end), "ReverseABH": ("activity", higher_end),
+    "CanonicalRandomVertexCut": None, "RandomVertexCut": None, "HDRF": None, "HURL": None, "BABH": None,
+}
+
+
+def offline_placements(edges: DataFrame, parts: int, strategy: str) -> DataFrame:
+    """seq, src, dst, part of edges placed in arrival order, by the statistics as they stand at their arrival."""
+    if strategy not in OFFLINE:
+        raise ValueError(f"unknown strategy {strategy}")
+    if strategy in ("HDRF", "HURL", "BABH"):
+        return greedy(edges, strategy.lower(), parts)
     rows = edges.select("seq", "src", "dst")
+    if OFFLINE[strategy] is None:
+        return rows.withColumn("part", hash_strategy(strategy, parts))
+    statistic, decides = OFFLINE[strategy]
+    now = running(edges)
     for end, prefix in (("src", "s"), ("dst", "d")):
         rows = rows.join(now.select("seq", F.col("id").alias(end), F.col(statistic).alias(f"{prefix}_now")), ["seq", end])
-    rows = rows.withColumn("part", lower_end("now", parts)).select("seq", "src", "dst", "part")
-    last = edges.agg(F.max("seq").alias("n"))
-    # A placement holds from its arrival to the next one of the same edge.
+    return rows.withColumn("part", decides("now", parts)).select("seq", "src", "dst", "part")
+
+
+def _sums(rows: DataFrame, keys: list[str], by: str, *columns: str) -> DataFrame:
+    """Running sums of columns in the order of ``by``, within the keys."""
+    upto = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({c: F.sum(c).over(upto) for c in columns})
+
+
+def offline_quality(edges: DataFrame, parts: int, batch: int, strategy: str = "DBH", stop: int | None = None) -> DataFrame:
+    """count, rf, rft, min_load, max_load after every ``batch`` edges, or up to ``stop`` of them, when each edge goes by
+    the strategy at its arrival; of equal edges the last placement holds.
+
+    A placement is two changes, one where it begins to hold and one where it ends; all figures are running sums
+    of changes, so the rows are in proportion to the edges, whatever the number of batches."""
+    spark = edges.sparkSession
+    if stop is not None:
+        edges = edges.where(F.col("seq") <= stop)
+    rows = materialize(spark, offline_placements(edges, parts, strategy), "placements")
+    total = rows.agg(F.max("seq")).first()[0] or 0
+    last = total // batch
     until = F.lead("seq").over(Window.partitionBy("src", "dst").orderBy("seq"))
-    rows = rows.withColumn("until", until)
-    spans = rows.join(F.broadcast(last)).withColumn("first", F.ceil(F.col("seq") / batch)).withColumn(
-        "final", F.when(F.col("until").isNull(), F.floor(F.col("n") / batch)).otherwise(F.ceil(F.col("until") / batch) - 1))
-    held = spans.where("first <= final").select(F.explode(F.sequence("first", "final")).alias("k"), "src", "dst", "part")
-    nodes = held.select("k", "part", F.explode(F.array("src", "dst")).alias("id")).groupBy("k", "part", "id").agg(F.lit(1).alias("one"))
-    per = nodes.groupBy("k", "id").agg(F.count("*").alias("replicas"))
-    seen = rows.select(F.ceil(F.col("seq") / batch).alias("k0"), F.explode(F.array("src", "dst")).alias("id")).groupBy("k0", "id").agg(F.count("*").alias("c"))
-    upto = seen.join(F.broadcast(last)).where(F.col("k0") <= F.floor(F.col("n") / batch))
-    upto = upto.select(F.explode(F.sequence("k0", F.floor(F.col("n") / batch))).alias("k"), "id", "c").groupBy("k", "id").agg(F.sum("c").alias("activity"))
-    rf = per.join(upto, ["k", "id"]).groupBy("k").agg(
-        F.round(F.sum("replicas") / F.count("*"), 2).alias("rf"), F.round(F.sum(F.col("replicas") * F.col("activity")) / F.sum("activity"), 2).alias("rft"))
-    load = held.groupBy("k", "part").agg(F.count("*").alias("n")).groupBy("k").agg(F.min("n").alias("min_load"), F.max("n").alias("max_load"))
-    return rf.join(load, "k").select((F.col("k") * batch).alias("count"), "rf", "rft", "min_load", "max_load")
+    spans = rows.withColumn("until", until).select(
+        "src", "dst", "part", F.ceil(F.col("seq") / batch).alias("first"),
+        F.when(F.col("until").isNull(), last + 1).otherwise(F.ceil(F.col("until") / batch)).alias("end"))
+    changes = spans.where("first < end").select("src", "dst", "part", F.inline(F.array(
+        F.struct(F.col("first").alias("k"), F.lit(1).alias("d")), F.struct(F.col("end").alias("k"), F.lit(-1).alias("d")))))
+    changes = materialize(spark, changes.where(F.col("k") <= last), "changes")
+    # A part holds a vertex from the first to the last of its edges there.
+    held = endpoints(changes.select("src", "dst", "part", "k", "d")).groupBy("part", "id", "k").agg(F.sum("d").alias("n"))
+    held = _sums(held, ["part", "id"], "k", "n").withColumn("there", (F.col("n") > 0).cast("int"))
+    before = F.lag("there", 1, 0).over(Window.partitionBy("part", "id").orderBy("k"))
+    replicas = held.withColumn("r", F.col("there") - before).where("r <> 0").select("id", "k", "r", F.lit(0).alias("a"))
+    seen = endpoints(rows.select("src", "dst", F.ceil(F.col("seq") / batch).alias("k"))).where(F.col("k") <= last)
+    seen = seen.select("id", "k", F.lit(0).alias("r"), F.lit(1).alias("a"))
+    by_vertex = replicas.unionByName(seen).groupBy("id", "k").agg(F.sum("r").alias("r"), F.sum("a").alias("a"))
+    now = _sums(by_vertex, ["id"], "k", "r", "a").select("id", "k", "r", "a", (F.col("r") * F.col("a")).alias("ra"), (F.col("r") > 0).cast("long").alias("v"))
+    ordered = Window.partitionBy("id").orderBy("k")
+    moved = now.select("k", *[(F.col(c) - F.lag(c, 1, 0).over(ordered)).alias(c) for c in ("r", "a", "ra", "v")])
+    batches = spark.range(1, last + 1).withColumnRenamed("id", "k")
+    figures = batches.join(moved.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("r", "a", "ra", "v")]), "k", "left").fillna(0)
+    # One row for each batch from here on.
+    figures = _sums(figures, [], "k", "r", "a", "ra", "v")
+    load = changes.groupBy("k", "part").agg(F.sum("d").alias("n"))
+    load = batches.crossJoin(F.broadcast(spark.range(parts).select(F.col("id").cast("int").alias("part")))).join(load, ["k", "part"], "left").fillna(0)
+    load = _sums(load, ["part"], "k", "n").where("n > 0").groupBy("k").agg(F.min("n").alias("min_load"), F.max("n").alias("max_load"))
+    return figures.join(load, "k").select(
+        (F.col("k") * batch).alias("count"), F.round(F.col("r") / F.col("v"), 2).alias("rf"), F.round(F.col("ra") / F.col("a"), 2).alias("rft"), "min_load", "max_load")
+
+
+# Strategies by name.
+
+def _stat(statistic, column: str, rule) -> Callable[[DataFrame, int], DataFrame]:
+    return lambda edges, parts: with_statistic(edges, statistic(edges), column, column).withColumn("part", rule(column, parts))
+
+
+def _by_updates(kind: str) -> Callable[[DataFrame, int], DataFrame]:
+    def place(edges: DataFrame, parts: int) -> DataFrame:
+        rows = with_statistic(edges, degree_undirected(edges), "degree", "degree")
+        rows = with_statistic(rows, update_counts(exact(edges, 3)), "updates", "updates")
+        first = edges.withColumn("part", hash_strategy("EdgePartition2D", parts))
+        return with_statistic(rows, replicas(first), "replicas", "replicas").withColumn("part", by_updates(parts, kind))
+
+    return place
+
+
+def _greedily(kind: str) -> Callable[[DataFrame, int], DataFrame]:
+    return lambda edges, parts: edges.join(greedy(edges, kind, parts).select("seq", "part"), "seq")
+
+
+STRATEGIES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
+    **{name: (lambda edges, parts, name=name: edges.withColumn("part", hash_strategy(name, parts)))
+       for name in ("RandomVertexCut", "CanonicalRandomVertexCut", "EdgePartition1D", "EdgePartition2D", "Hashing", "ONLYONE")},
+    "DBH": _stat(degree_undirected, "degree", lower_end),
+    "iDBH": _stat(degree_undirected, "degree", lower_end),
+    "ABH": _stat(activity, "activity", lower_end),
+    "ReverseABH": _stat(activity, "activity", higher_end),
+    "NPH": _stat(lambda edges: sizes(exact(edges, 3), 0), "size", lower_end),
+    "UBH": _by_updates("higher"), "UBHAdvanced": _by_updates("advanced"), "UBHReversed": _by_updates("lower"),
+    "HDRF": _greedily("hdrf"), "HURL": _greedily("hurl"), "BABH": _greedily("babh"),
+}
+
+
+def place(edges: DataFrame, strategy: str, parts: int) -> DataFrame:
+    """The edges with ``part`` by a strategy's name; seq is wanted by the greedy ones. Null ends have no place:
+    such edges are left out."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    whole = edges.where("src is not null and dst is not null")
+    return STRATEGIES[strategy](whole, parts).select(*edges.columns, "part")
+
+
+def lay_out(placed: DataFrame, parts: int) -> DataFrame:
+    """The rows dealt out by their placement: partition k holds the rows of part k."""
+    return placed.repartitionById(parts, F.col("part"))

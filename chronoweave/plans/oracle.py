@@ -128,6 +128,21 @@ run AS (SELECT seq, id, activity, degree FROM (SELECT seq, side, id, count(*) OV
   row_number() OVER (PARTITION BY id, seq ORDER BY side DESC) AS k FROM f WINDOW w AS (PARTITION BY id ORDER BY seq, side ROWS UNBOUNDED PRECEDING)) WHERE k = 1)"""
 
 
+def offline(first: str | None, part: str = "") -> str:
+    """Quality after every batch, where the first end decides under a condition, or by a part of the edge alone."""
+    ends = "JOIN run s ON s.seq = e1.seq AND s.id = src JOIN run d ON d.seq = e1.seq AND d.id = dst" if first else ""
+    part = f"CASE WHEN {first} THEN {home('src')} ELSE {home('dst')} END" if first else part
+    pl = f"pl AS (SELECT e1.seq, src, dst, {part} AS part FROM e1 {ends})"
+    return f"""WITH {E1}, {RUNNING}, {pl},
+k AS (SELECT unnest(range(1, (SELECT max(seq) FROM e1) // {BATCH} + 1)) AS k),
+h AS (SELECT k, src, dst, arg_max(part, seq) AS part FROM pl JOIN k ON seq <= k * {BATCH} GROUP BY 1, 2, 3),
+nd AS (SELECT k, id, count(DISTINCT part) AS r FROM (SELECT k, part, src AS id FROM h UNION ALL SELECT k, part, dst FROM h) GROUP BY 1, 2),
+ac AS (SELECT k, id, count(*) AS a FROM x JOIN k ON seq <= k * {BATCH} GROUP BY 1, 2),
+q AS (SELECT k, round(sum(r)::DOUBLE / count(*), 2) AS rf, round(sum(r * a)::DOUBLE / sum(a), 2) AS rft FROM nd JOIN ac USING (k, id) GROUP BY 1),
+l AS (SELECT k, min(c) AS min_load, max(c) AS max_load FROM (SELECT k, part, count(*) AS c FROM h GROUP BY 1, 2) GROUP BY 1)
+SELECT k * {BATCH} AS count, rf, rft, min_load, max_load FROM q JOIN l USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     simple = lambda cte, q: f"WITH {cte} {q}"
     part = lambda expr, cte=E1D: f"WITH {cte} SELECT src, dst, ({expr})::INT AS part FROM e"
@@ -218,15 +233,15 @@ SELECT round(sum(r * a)::DOUBLE / sum(a), 2) AS rft FROM rp JOIN ac USING (id)""
         "partition_load": f"{DBH} SELECT part, count(*) AS edges FROM pl GROUP BY 1",
         "partition_nodes": f"{DBH}, {NODES} SELECT * FROM nd",
         "load_rsd": f"{DBH}, l AS (SELECT count(*) AS c FROM pl GROUP BY part) SELECT round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS sd, round(stddev_pop(c) * 100 / avg(c), 6) AS rsd FROM l",
-        "offline_partition_quality": f"""WITH {E1}, {RUNNING}, pl AS (SELECT e1.seq, src, dst, CASE WHEN s.degree < d.degree THEN {home('src')} ELSE {home('dst')} END AS part
-  FROM e1 JOIN run s ON s.seq = e1.seq AND s.id = src JOIN run d ON d.seq = e1.seq AND d.id = dst),
-k AS (SELECT unnest(range(1, (SELECT max(seq) FROM e1) // {BATCH} + 1)) AS k),
-h AS (SELECT k, src, dst, arg_max(part, seq) AS part FROM pl JOIN k ON seq <= k * {BATCH} GROUP BY 1, 2, 3),
-nd AS (SELECT k, id, count(DISTINCT part) AS r FROM (SELECT k, part, src AS id FROM h UNION ALL SELECT k, part, dst FROM h) GROUP BY 1, 2),
-ac AS (SELECT k, id, count(*) AS a FROM x JOIN k ON seq <= k * {BATCH} GROUP BY 1, 2),
-q AS (SELECT k, round(sum(r)::DOUBLE / count(*), 2) AS rf, round(sum(r * a)::DOUBLE / sum(a), 2) AS rft FROM nd JOIN ac USING (k, id) GROUP BY 1),
-l AS (SELECT k, min(c) AS min_load, max(c) AS max_load FROM (SELECT k, part, count(*) AS c FROM h GROUP BY 1, 2) GROUP BY 1)
-SELECT k * {BATCH} AS count, rf, rft, min_load, max_load FROM q JOIN l USING (k)""",
+        "offline_partition_quality": offline("s.degree < d.degree"),
+        "offline_quality_abh": offline("s.activity < d.activity"),
+        "offline_quality_rabh": offline("s.activity > d.activity"),
+        "offline_quality_crvc": offline(None, f"({pair(lo, hi)}) % {PARTS}"),
+        "offline_quality_rvc": offline(None, f"({pair('src', 'dst')}) % {PARTS}"),
+        "place_dbh": f"WITH {E1D}, {DEG} {placed('deg', 'degree', edges='e1').replace('SELECT src', 'SELECT seq, src')}",
+        "place_rabh": f"WITH {E1}, {ACT} {placed('act', 'activity', '>', 'e1').replace('SELECT src', 'SELECT seq, src')}",
+        "place_crvc": f"WITH {E1} SELECT seq, src, dst, (({pair(lo, hi)}) % {PARTS})::INT AS part FROM e1",
+        "layout_crvc": f"WITH {E1} SELECT (({pair(lo, hi)}) % {PARTS})::INT AS part, count(*) AS edges, count(*) AS in_place FROM e1 GROUP BY 1",
         "task_skew": f"{DBH}, l AS (SELECT count(*) AS n, sum(src) AS s FROM pl GROUP BY part) SELECT sum(n)::BIGINT AS n, sum(s)::BIGINT AS total, max(s)::BIGINT AS largest FROM l",
         "stage_metrics": """SELECT event_type, count(*) AS n, sum(k)::BIGINT AS k_sum, (sum(k) // 1000)::BIGINT AS k_thousands, arg_max(event_id, (value, -event_id)) AS slowest
 FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1""",
@@ -238,4 +253,4 @@ FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1"
         "token_filter": "SELECT token FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE length(token) > 5",
         "token_top5": "SELECT token FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE length(token) > 5 ORDER BY token DESC LIMIT 5",
     }
-    return found
+    return found | {"algorithm_cc": found["connected_components"], "algorithm_sp": found["shortest_paths"]}

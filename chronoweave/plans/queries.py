@@ -127,6 +127,16 @@ def _stream_profile(s: SparkSession, e: DataFrame) -> DataFrame:
     return st.undominated(rows)
 
 
+OFFLINE_NAMES = {"abh": "ABH", "rabh": "ReverseABH", "crvc": "CanonicalRandomVertexCut", "rvc": "RandomVertexCut"}
+PLACE_NAMES = {"dbh": "DBH", "rabh": "ReverseABH", "crvc": "CanonicalRandomVertexCut"}
+
+
+def _layout(s: SparkSession, d: str) -> DataFrame:
+    """part, edges, and how many of them lie in the partition of that number."""
+    laid = pt.lay_out(pt.place(_e1(s, d), "CanonicalRandomVertexCut", PARTS), PARTS).withColumn("at", F.spark_partition_id())
+    return laid.groupBy("part").agg(F.count("*").alias("edges"), F.count_if(F.col("at") == F.col("part")).alias("in_place"))
+
+
 def _simulate(s: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     return s.range(1, 31).select(F.col("id").alias("k")).select("k", F.round(sketch.register_probability(k, F.lit(SIM_N), BUCKETS), 9).alias("p"))
@@ -208,6 +218,11 @@ def queries() -> dict:
         "partition_nodes": lambda s, d: pt.partition_nodes(_placed(s, d)),
         "load_rsd": lambda s, d: pt.load_rsd(pt.loads(_placed(s, d))),
         "offline_partition_quality": lambda s, d: pt.offline_quality(_e1(s, d), PARTS, BATCH),
+        **{f"offline_quality_{short}": (lambda s, d, name=name: pt.offline_quality(_e1(s, d), PARTS, BATCH, name)) for short, name in OFFLINE_NAMES.items()},
+        **{f"place_{short}": (lambda s, d, name=name: pt.place(_e1(s, d), name, PARTS).select("seq", "src", "dst", "part")) for short, name in PLACE_NAMES.items()},
+        "layout_crvc": lambda s, d: _layout(s, d),
+        "algorithm_cc": lambda s, d: algorithms.run(_e1(s, d), src.JobConfig.parse("algo=CC")),
+        "algorithm_sp": lambda s, d: algorithms.run(_e1(s, d), src.JobConfig.parse("algo=SP\nlandmarkCount=20\nPR_Itteration=20")),
         "task_skew": _task_skew,
         "stage_metrics": lambda s, d: metrics.event_metrics(s.read.parquet(f"{d}/events.parquet")),
         "best_stage": lambda s, d: metrics.best_rows(_runs(s, d), ["file", "algorithm"], "ms", "run"),

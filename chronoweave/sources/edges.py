@@ -16,6 +16,15 @@ from ..functions.hashing import spread
 EDGE = StructType([StructField("src", LongType()), StructField("dst", LongType()), StructField("ts", LongType())])
 
 
+#: The keys of a properties file, and the settings that they are.
+KEYS = {
+    "number_of_bucket": "buckets", "distance": "hops", "batch": "batch", "partition": "partitions", "inputfile": "input", "outputFile": "output",
+    "folder": "folder", "writeResult": "write_result", "partionStrategy": "strategy", "hdrfLambda": "balance",
+    "getReplicationFactor": "report_replication", "useVertexPartitioner": "vertex_partitioner", "PR_Itteration": "max_iterations",
+    "landmarkCount": "landmarks", "algo": "algorithm",
+}
+
+
 @dataclass
 class JobConfig:
     """Settings of a run, with the defaults of the sample configuration."""
@@ -29,16 +38,25 @@ class JobConfig:
     tolerance: float = 1e-4
     balance: float = 1.0
     strategy: str = "EdgePartition2D"
+    algorithm: str = "PR"
+    input: str = ""
+    output: str = ""
+    folder: str = ""
+    write_result: bool = False
+    report_replication: bool = False
+    vertex_partitioner: bool = False
 
     @classmethod
     def parse(cls, text: str, **overrides) -> JobConfig:
-        """From `key=value` lines; unknown keys are ignored, overrides win."""
+        """From `key=value` lines, keys as in KEYS or by the settings' own names; other keys are ignored, overrides win."""
         kinds = {f.name: type(f.default) for f in fields(cls)}
         found = {}
         for line in text.splitlines():
             key, eq, value = line.partition("=")
-            if eq and not line.lstrip().startswith(("#", "!")) and key.strip() in kinds:
-                found[key.strip()] = kinds[key.strip()](value.strip())
+            name = KEYS.get(key.strip(), key.strip())
+            if eq and not line.lstrip().startswith(("#", "!")) and name in kinds:
+                value = value.strip()
+                found[name] = value.lower() == "true" if kinds[name] is bool else kinds[name](value)
         return cls(**found | overrides)
 
 

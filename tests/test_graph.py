@@ -248,3 +248,96 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
         getConf=lambda: SimpleNamespace(get=lambda k: None), master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
     with pytest.raises(ValueError):
         storage.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def slow_quality(edges, placed, batch):
+    """count, rf, rft, loads after every batch, each counted anew from all placements that hold."""
+    out = []
+    for k in range(1, max(e[0] for e in edges) // batch + 1):
+        held, nodes, activity, load = {}, {}, {}, {}
+        for (seq, a, b, _), p in zip(edges, placed):
+            if seq <= k * batch:
+                held[a, b] = p
+                for x in (a, b):
+                    activity[x] = activity.get(x, 0) + 1
+        for (a, b), p in held.items():
+            load[p] = load.get(p, 0) + 1
+            for x in (a, b):
+                nodes.setdefault(x, set()).add(p)
+        rf = sum(map(len, nodes.values())) / len(nodes)
+        rft = sum(len(ps) * activity[x] for x, ps in nodes.items()) / sum(activity.values())
+        out.append((k * batch, pytest.approx(rf, abs=0.0051), pytest.approx(rft, abs=0.0051), min(load.values()), max(load.values())))
+    return out
+
+
+@pytest.mark.parametrize("strategy", ["DBH", "ReverseABH", "CanonicalRandomVertexCut", "HDRF"])
+def test_offline_quality_against_counting_anew(spark, strategy):
+    rng = random.Random(len(strategy))
+    data = []
+    for seq in range(1, 124):
+        a, b = rng.sample(range(12), 2)
+        data.append((seq, a, b, seq))
+    frame = spark.createDataFrame(data, ET).repartition(3)
+    placed = [p for _, p in rows(pt.offline_placements(frame, 4, strategy), "seq", "part")]
+    assert rows(pt.offline_quality(frame, 4, 10, strategy)) == slow_quality(data, placed, 10)
+    assert rows(pt.offline_quality(frame, 4, 10, strategy, stop=55)) == slow_quality(data[:55], placed[:55], 10)
+    if strategy == "DBH":
+        degrees, want = {}, []
+        for _, a, b, _ in data:
+            degrees.setdefault(a, set()).add(b)
+            degrees.setdefault(b, set()).add(a)
+            want.append((a if len(degrees[a]) < len(degrees[b]) else b) % 4)
+        assert placed == want
+
+
+def test_strategies_by_name_and_layout(spark):
+    rng = random.Random(2)
+    data = [(k + 1, *rng.sample(range(20), 2), k) for k in range(80)]
+    frame = spark.createDataFrame([*data, (81, None, 3, 1)], ET)
+    for name in pt.STRATEGIES:
+        placed = pt.place(frame, name, 3).collect()
+        assert len(placed) == 80 and {r.part for r in placed} <= {0, 1, 2}
+    laid = pt.lay_out(pt.place(frame, "DBH", 3), 3)
+    assert laid.rdd.getNumPartitions() == 3 and all(r.part == r.at for r in laid.withColumn("at", F.spark_partition_id()).collect())
+    with pytest.raises(ValueError):
+        pt.place(frame, "nonesuch", 3)
+    with pytest.raises(ValueError):
+        pt.offline_quality(frame, 3, 10, "nonesuch")
+
+
+def test_properties_name_an_algorithm(spark, five):
+    config = src.JobConfig.parse("# a comment\nalgo=CC\npartition=5\ndistance=2\nwriteResult=true\nunknown=1\nPR_Itteration=7", balance=2.0)
+    assert (config.algorithm, config.partitions, config.hops, config.write_result, config.max_iterations, config.balance) == ("CC", 5, 2, True, 7, 2.0)
+    assert rows(algorithms.run(five, config)) == [(k, 1) for k in (1, 2, 3, 4)]
+    assert rows(algorithms.run(five, src.JobConfig(algorithm="PR"))) == rows(algorithms.pagerank(five))
+    assert len(rows(algorithms.run(five, src.JobConfig(algorithm="LP", max_iterations=2)))) == 4
+    with pytest.raises(ValueError):
+        algorithms.run(five, src.JobConfig(algorithm="XX"))
+
+
+def test_stage_and_job_tables_of_an_event_log(spark, tmp_path):
+    import json
+
+    stage = lambda n, name, values: {"Event": "SparkListenerStageCompleted", "Stage Info": {
+        "Stage ID": n, "Stage Name": name, "Number of Tasks": 2, "Submission Time": 100, "Completion Time": 100 + n,
+        "Accumulables": [{"Name": k, "Value": str(v)} for k, v in values.items()]}}
+    log = [
+        stage(3, "mapReduceTriplets at X", {"internal.metrics.executorRunTime": 7, "internal.metrics.shuffle.read.remoteBytesRead": 9, "vp": 4}),
+        stage(5, "count at Y", {"internal.metrics.jvmGCTime": 2}),
+        {"Event": "SparkListenerJobStart", "Job ID": 1, "Submission Time": 50, "Stage Infos": [{"Stage ID": 5, "Stage Name": "count at Y"}, {"Stage ID": 3, "Stage Name": "a"}]},
+        {"Event": "SparkListenerJobStart", "Job ID": 2, "Submission Time": 60, "Stage Infos": []},
+        {"Event": "SparkListenerJobEnd", "Job ID": 1, "Completion Time": 95},
+    ]
+    path = tmp_path / "log"
+    path.write_text("\n".join(map(json.dumps, log)))
+    stages = metrics.read_stages(spark, str(path))
+    counted = {r.StageId: r for r in metrics.stage_counters(stages, ("vp", "send", "merge")).collect()}
+    assert len(counted[3]) == 22 and (counted[3].vpCounter, counted[3].executorRunTime, counted[3].remoteBytesRead, counted[3].stageTime) == (4, 7, 9, 3)
+    assert (counted[5].jvmGCTime, counted[5].sendCounter) == (2, 0)
+    assert [tuple(r) for r in metrics.stage_detail(stages).collect()] == [("materialise", 5, 5), ("send", 3, 3)]
+    assert [tuple(r) for r in metrics.job_detail(spark, str(path)).collect()] == [(1, "count at Y", 45, 95, 50, [3, 5])]
+    table = tmp_path / "counters.csv"
+    lines = [",".join(metrics.COUNTERS), ",".join(["7", "x"] + ["1"] * 20), "too,few", ",".join(["8", "y"] + ["z"] * 20)]
+    table.write_text("\n".join(lines))
+    got = rows(metrics.read_counters(spark, str(table)), "StageId", "StageName", "stageTime")
+    assert got == [(7, "x", 1), (8, "y", None)]
