@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources import storage
+from ..sources.storage import new_folder, release  # noqa: F401
+
 WORD_SEPARATORS = "\\x20\\x09-\\x0D"
 
 
@@ -18,9 +17,6 @@ WORD_SEPARATORS = "\\x20\\x09-\\x0D"
 BATCH_BYTES = "8m"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def bound_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in spark.conf.getAll:
@@ -38,54 +34,11 @@ def id_types(docs: DataFrame, column: str = "doc_id") -> tuple[pa.DataType, str]
     return to_arrow_type(kind, prefers_large_types=False), kind.simpleString()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is
-    unset and the session is local (tests) a folder of this process."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(found)
-        return found.rstrip("/")
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="chronoweave-")
-    context.setCheckpointDir(f"file://{own}")
-    atexit.register(__import__("shutil").rmtree, own, True)
-    return f"file://{own}"
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/chronoweave/{what}-{uuid.uuid4().hex}"
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def materialize(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, and a lost executor
     costs no recomputation. The path is in the frame's ``written_to`` attribute."""
     bound_batches(spark)
-    path = new_folder(spark, what)
-    # What a step shuffled is of no use once its table is written: Spark may delete it then.
-    held = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, held)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.written_to = path
-    return back
-
-
-def release(spark: SparkSession, df: DataFrame) -> None:
-    delete_folder(spark, df.written_to)
+    return storage.materialize(spark, df, what)
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
