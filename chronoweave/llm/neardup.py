@@ -15,8 +15,8 @@
    bucket of thousands of near copies costs a few rows per member.
 
 With 32 bands of 4 minima a pair of similarity 0.75 shares no bucket with a chance of 5e-6. The estimates' bounds
-lie 5 standard deviations below 0.75: by the binomial tail ESTIMATE loses such a pair with a chance of 4e-6 and
-LONG_ESTIMATE with one of 1e-6. Pairs of higher similarity are lost more rarely by far. With ``exact=True`` nothing is
+lie 5 standard deviations below 0.75: by the binomial tail ESTIMATE loses such a pair with a chance of 1.4e-6
+and LONG_ESTIMATE with one of 2.2e-6. Pairs of higher similarity are lost more rarely by far. With ``exact=True`` nothing is
 estimated: every two classes of different components that share a bucket are confirmed, whatever the bucket's size.
 Large families of documents that are all just under the threshold of each other cost a candidate for almost
 every pair: no filter here tells 0.70 from 0.75 without a look at both.
