@@ -7,22 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources import storage
-from ..sources.storage import new_folder, release  # noqa: F401
+from ..sources.storage import bound_batches, new_folder, release  # noqa: F401
 
 WORD_SEPARATORS = "\\x20\\x09-\\x0D"
 
 
-#: Bytes of a batch that is handed to Python, where the session sets no bound of its own: rows may hold
-#: whole texts or shingle sets, and executors keep several copies of a batch.
-BATCH_BYTES = "8m"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if key not in spark.conf.getAll:
-        spark.conf.set(key, BATCH_BYTES)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import bucket_of, rank_of
 from ..functions.sketch import cardinality
 from ..sources.storage import materialize
+from . import walks
 from .edges import both_ways
 
 
@@ -25,6 +26,11 @@ def latest(edges: DataFrame) -> DataFrame:
 
 def exact(edges: DataFrame, hops: int = 3) -> DataFrame:
     """id, hop, nbr, ts without dominated entries."""
+    return exact_by_tables(edges, hops)
+
+
+def exact_by_tables(edges: DataFrame, hops: int = 3) -> DataFrame:
+    """As exact, with a table for each hop."""
     spark = edges.sparkSession
     near = materialize(spark, latest(edges), "pairs")
     level = near.select("id", F.lit(1).alias("hop"), "nbr", "ts")
@@ -52,6 +58,29 @@ def update_counts(profile: DataFrame) -> DataFrame:
     return profile.select("id", "hop").distinct().groupBy("id").agg(F.count("*").alias("updates"))
 
 
+def summaries(edges: DataFrame, hops: int = 3, horizon: int = 0, inclusive: bool = False) -> DataFrame:
+    """id, size, updates of every vertex of the exact profile, without the profile's rows; size 0 where nothing is
+    newer than the horizon."""
+    return _summaries(edges, hops, horizon, inclusive, walks.pack(edges))
+
+
+def window_sizes(edges: DataFrame, hops: int = 3, horizon: int = 0, inclusive: bool = False) -> DataFrame:
+    """The sizes of the exact profile: a neighbour is newer than the horizon if all edges of a walk to it are, so
+    only those edges are packed."""
+    packed = walks.pack(edges, None, horizon if inclusive else horizon + 1)
+    return _summaries(edges, hops, horizon, inclusive, packed).where("size > 0").select("id", "size")
+
+
+def _summaries(edges: DataFrame, hops: int, horizon: int, inclusive: bool, packed: walks.Packed | None) -> DataFrame:
+    if packed is None:
+        profile = exact_by_tables(edges, hops)
+        rows = update_counts(profile).join(sizes(profile, horizon, inclusive), "id", "left")
+        rows = rows.select("id", F.coalesce("size", F.lit(0)).alias("size"), "updates")
+    else:
+        rows = walks.summaries(packed, hops, horizon, inclusive)
+    return materialize(edges.sparkSession, rows, "summaries")
+
+
 # Sliding sketches.
 
 def elements(rows: DataFrame, h: Column, buckets: int, top_bit: int = 63) -> DataFrame:
@@ -86,9 +115,15 @@ def estimate(sketch: DataFrame, horizon: int | None, buckets: int, *keys: str) -
 def approximate(edges: DataFrame, hops: int = 3, buckets: int = 256, h: Column | None = None, top_bit: int = 63) -> DataFrame:
     """id, hop, bucket, rank, ts. h: the hash of column nbr; 64 bits by default. Bucket and rank travel,
     not ids, so a level has at most buckets * 64 rows for each vertex."""
+    h = F.xxhash64("nbr") if h is None else h
+    packed = walks.pack(edges, bucket_of(h, buckets) * (1 << walks.RANK_BITS) + rank_of(h, buckets, top_bit))
+    return approximate_by_tables(edges, hops, buckets, h, top_bit) if packed is None else walks.sketches(packed, hops, buckets)
+
+
+def approximate_by_tables(edges: DataFrame, hops: int, buckets: int, h: Column, top_bit: int = 63) -> DataFrame:
+    """As approximate, with a table for each hop."""
     spark = edges.sparkSession
     near = materialize(spark, latest(edges), "pairs")
-    h = F.xxhash64("nbr") if h is None else h
     level = merge_sketches(elements(near, h, buckets, top_bit).withColumn("hop", F.lit(1)), "id", "hop")
     found = level = materialize(spark, prune(level, "id", "hop"), "sketch")
     for hop in range(2, hops + 1):

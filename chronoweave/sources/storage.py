@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of a batch that is handed to Python, where the session sets no bound of its own: rows may hold
+#: whole texts, shingle sets or packed edges, and executors keep several copies of a batch.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the cluster names it; a folder of this process where that is unset and the
