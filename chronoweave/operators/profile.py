@@ -25,8 +25,9 @@ def latest(edges: DataFrame) -> DataFrame:
 
 
 def exact(edges: DataFrame, hops: int = 3) -> DataFrame:
-    """id, hop, nbr, ts without dominated entries."""
-    return exact_by_tables(edges, hops)
+    """id, hop, nbr, ts without dominated entries; by walks from a packed graph where the edges can be packed."""
+    packed = walks.pack(edges)
+    return exact_by_tables(edges, hops) if packed is None else walks.profiles(packed, hops)
 
 
 def exact_by_tables(edges: DataFrame, hops: int = 3) -> DataFrame:
