@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import spread
 from ..sources.edges import JobConfig
 from ..sources.storage import materialize, materialize_counting, release
+from . import history
 from .edges import batches, both_ways, vertices, weights
 from .pregel import pregel
 
@@ -64,15 +65,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def components_by_batch(edges: DataFrame, size: int) -> DataFrame:
-    """batch_id, id, label after each batch, over all edges so far. The batches are one graph of
-    (batch, id) vertices, so they are worked on together."""
+    """batch_id, id, label after each batch, over all edges so far, from the history of the labels: work is in
+    proportion to the edges and to the rows that are returned."""
+    spark = edges.sparkSession
     rows = batches(edges, size)
-    last = rows.agg(F.max("batch_id").alias("last"))
-    many = rows.join(F.broadcast(last)).withColumn("b", F.explode(F.sequence("batch_id", "last")))
-    code = lambda c: F.col(c) * (F.col("last") + 1) + F.col("b")
-    coded = components(many.select(code("src").alias("src"), code("dst").alias("dst")))
-    n = F.col("last") + 1
-    return coded.join(F.broadcast(last)).select((F.col("id") % n).alias("batch_id"), F.floor(F.col("id") / n).alias("id"), F.floor(F.col("label") / n).alias("label"))
+    last = rows.agg(F.max("batch_id")).collect()[0][0]
+    whole = rows.where("src is not null and dst is not null").select(F.col("src").cast("long"), F.col("dst").cast("long"), "batch_id")
+    fields = "src long, dst long, batch_id long"
+    few = whole.mapInArrow(history.forest, fields).repartition(1)
+    labels = materialize(spark, few.mapInArrow(history.spans(last if last is not None else -1), history.SPAN_SQL), "spans")
+    dealt = labels.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return dealt.select(F.explode(F.sequence("first", "last")).alias("batch_id"), "id", "label")
 
 
 def landmarks(ids: DataFrame, n: int) -> DataFrame:
