@@ -19,7 +19,7 @@ from ..functions.hashing import home, spread, spread_pair
 from ..sources.edges import with_seq
 from ..sources.storage import materialize
 from .edges import activity, degree_undirected, endpoints, running
-from .profile import exact, sizes, update_counts
+from .profile import exact, sizes, summaries
 
 #: Edges or vertices that one task places at most.
 BLOCK = 1_000_000
@@ -52,6 +52,15 @@ def with_statistic(edges: DataFrame, stat: DataFrame, column: str, name: str) ->
     return edges
 
 
+def with_statistics(edges: DataFrame, stats: DataFrame) -> DataFrame:
+    """Adds s_<name> and d_<name> for every statistic of a table by id, with one join for each end."""
+    names = [c for c in stats.columns if c != "id"]
+    for end, prefix in (("src", "s"), ("dst", "d")):
+        one = stats.select(F.col("id").alias(end), *[F.col(c).alias(f"_{c}") for c in names])
+        edges = edges.join(one, end, "left").withColumns({f"{prefix}_{c}": F.coalesce(f"_{c}", F.lit(0)) for c in names}).drop(*[f"_{c}" for c in names])
+    return edges
+
+
 def lower_end(name: str, parts: int) -> Column:
     """The end with the lower statistic decides; the destination on a tie."""
     return F.when(F.col(f"s_{name}") < F.col(f"d_{name}"), home(F.col("src"), parts)).otherwise(home(F.col("dst"), parts))
@@ -312,14 +321,16 @@ def _stat(statistic, column: str, rule) -> Callable[[DataFrame, int], DataFrame]
     return lambda edges, parts: with_statistic(edges, statistic(edges), column, column).withColumn("part", rule(column, parts))
 
 
-def _by_updates(kind: str) -> Callable[[DataFrame, int], DataFrame]:
-    def place(edges: DataFrame, parts: int) -> DataFrame:
-        rows = with_statistic(edges, degree_undirected(edges), "degree", "degree")
-        rows = with_statistic(rows, update_counts(exact(edges, 3)), "updates", "updates")
-        first = edges.withColumn("part", hash_strategy("EdgePartition2D", parts))
-        return with_statistic(rows, replicas(first), "replicas", "replicas").withColumn("part", by_updates(parts, kind))
+def with_updates(edges: DataFrame, parts: int) -> DataFrame:
+    """Adds degree, updates (rounds in which the profile of three hops changes) and replicas (in EdgePartition2D) of
+    both ends, as by_updates takes them. The statistics are joined by vertex, so edges are moved twice, not six times."""
+    first = edges.withColumn("part", hash_strategy("EdgePartition2D", parts))
+    stats = degree_undirected(edges).join(summaries(edges, 3).select("id", "updates"), "id", "left").join(replicas(first), "id", "left")
+    return with_statistics(edges, materialize(edges.sparkSession, stats.select("id", "degree", "updates", "replicas"), "statistics"))
 
-    return place
+
+def _by_updates(kind: str) -> Callable[[DataFrame, int], DataFrame]:
+    return lambda edges, parts: with_updates(edges, parts).withColumn("part", by_updates(parts, kind))
 
 
 def _greedily(kind: str) -> Callable[[DataFrame, int], DataFrame]:

@@ -49,16 +49,8 @@ def _by(stat, column, rule):
     return query
 
 
-def _with_updates(e: DataFrame) -> DataFrame:
-    e = eg.dedup_max(e)
-    rows = pt.with_statistic(e, eg.degree_undirected(e), "degree", "degree")
-    rows = pt.with_statistic(rows, pf.update_counts(pf.exact(e, 3)), "updates", "updates")
-    first = e.withColumn("part", pt.hash_strategy("EdgePartition2D", PARTS))
-    return pt.with_statistic(rows, pt.replicas(first), "replicas", "replicas")
-
-
 def _updates(graph, kind: str):
-    return lambda s, d: _with_updates(graph(s, d)).withColumn("part", pt.by_updates(PARTS, kind)).select("src", "dst", "part")
+    return lambda s, d: pt.with_updates(eg.dedup_max(graph(s, d)), PARTS).withColumn("part", pt.by_updates(PARTS, kind)).select("src", "dst", "part")
 
 
 def _nph(e: DataFrame) -> DataFrame:

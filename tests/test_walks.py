@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_graph import ET, rows
 
 from chronoweave.functions import hashing
-from chronoweave.operators import profile as pf, walks
+from chronoweave.operators import edges as eg, partition as pt, profile as pf, walks
 from chronoweave.sources import storage
 
 
@@ -91,3 +91,17 @@ def test_what_is_not_packed_goes_by_tables(spark, monkeypatch):
     monkeypatch.setattr(walks, "MOST_PAIRS", 5)
     assert walks.pack(path) is None
     assert rows(pf.summaries(path, 3, 5)) == [(1, 1, 3), (2, 1, 2), (3, 1, 2), (4, 1, 3)]
+
+
+def test_updates_are_joined_once_for_each_end(spark):
+    frame = pf.latest(graph(spark, 5, 30, 60, 9)).select(F.col("id").alias("src"), F.col("nbr").alias("dst"), "ts")
+    stats = {r.id: r for r in pf.summaries(frame).collect()}
+    degree = {r.id: r.degree for r in eg.degree_undirected(frame).collect()}
+    copies = {r.id: r.replicas for r in pt.replicas(frame.withColumn("part", pt.hash_strategy("EdgePartition2D", 4))).collect()}
+    placed = pt.with_updates(frame, 4)
+    assert placed.count() == frame.count() > 0
+    for r in placed.collect():
+        assert (r.s_degree, r.s_updates, r.s_replicas) == (degree[r.src], stats[r.src].updates, copies[r.src])
+        assert (r.d_degree, r.d_updates, r.d_replicas) == (degree[r.dst], stats[r.dst].updates, copies[r.dst])
+    # Joins of the edges themselves: the statistics are a table.
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
