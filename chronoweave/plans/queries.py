@@ -151,7 +151,7 @@ def queries() -> dict:
         "profile_output": lambda s, d: ex.profile_output(pf.exact(_e1(s, d), 3), eg.degree_undirected(_e1(s, d)), HORIZON),
         "landmark_maps": lambda s, d: ex.landmark_maps(algorithms.shortest_paths(_e1(s, d), algorithms.landmarks(eg.vertices(_e1(s, d)), 20), 20)).select(
             "id", F.size("distances").alias("landmarks"), F.array_max(F.map_values("distances")).alias("farthest")),
-        "profile_window_exact": lambda s, d: pf.sizes(pf.exact(_e1(s, d), 3), HORIZON),
+        "profile_window_exact": lambda s, d: pf.window_sizes(_e1(s, d), 3, HORIZON),
         "profile_window_approx": lambda s, d: pf.estimate(pf.merge_sketches(_sketch(_e1(s, d), 2), "id"), HORIZON, BUCKETS, "id"),
         "profile_approx": lambda s, d: _sketch(_e1(s, d), 3),
         "profile_stream": lambda s, d: _stream_profile(s, _e1(s, d)),
