@@ -19,7 +19,7 @@ from ..functions.hashing import home, spread, spread_pair
 from ..sources.edges import with_seq
 from ..sources.storage import materialize
 from .edges import activity, degree_undirected, endpoints, running
-from .profile import exact, sizes, summaries
+from .profile import summaries, window_sizes
 
 #: Edges or vertices that one task places at most.
 BLOCK = 1_000_000
@@ -344,7 +344,7 @@ STRATEGIES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
     "iDBH": _stat(degree_undirected, "degree", lower_end),
     "ABH": _stat(activity, "activity", lower_end),
     "ReverseABH": _stat(activity, "activity", higher_end),
-    "NPH": _stat(lambda edges: sizes(exact(edges, 3), 0), "size", lower_end),
+    "NPH": _stat(lambda edges: window_sizes(edges, 3), "size", lower_end),
     "UBH": _by_updates("higher"), "UBHAdvanced": _by_updates("advanced"), "UBHReversed": _by_updates("lower"),
     "HDRF": _greedily("hdrf"), "HURL": _greedily("hurl"), "BABH": _greedily("babh"),
 }

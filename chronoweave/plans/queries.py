@@ -55,7 +55,7 @@ def _updates(graph, kind: str):
 
 def _nph(e: DataFrame) -> DataFrame:
     e = eg.dedup_max(e)
-    rows = pt.with_statistic(e, pf.sizes(pf.exact(e, 3), 0), "size", "size")
+    rows = pt.with_statistic(e, pf.window_sizes(e, 3), "size", "size")
     return rows.withColumn("part", pt.lower_end("size", PARTS)).select("src", "dst", "part")
 
 
