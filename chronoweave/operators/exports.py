@@ -15,6 +15,12 @@ def profile_output(profile: DataFrame, degrees: DataFrame, horizon: int = 0) ->
     return rows.select("id", F.coalesce("profile_size", F.lit(0)).alias("profile_size"), F.coalesce("update_count", F.lit(0)).alias("update_count"), "degree")
 
 
+def vertex_output(summaries: DataFrame, degrees: DataFrame) -> DataFrame:
+    """As profile_output, from the summaries of the profiles."""
+    rows = degrees.select("id", "degree").join(summaries, "id", "left")
+    return rows.select("id", F.coalesce("size", F.lit(0)).alias("profile_size"), F.coalesce("updates", F.lit(0)).alias("update_count"), "degree")
+
+
 def landmark_maps(distances: DataFrame) -> DataFrame:
     """id, distances: a map from landmark to hops. As many entries as there are landmarks at most."""
     return distances.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("landmark", "dist")))).alias("distances"))

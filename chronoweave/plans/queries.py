@@ -148,7 +148,7 @@ def queries() -> dict:
         "label_propagation": lambda s, d: algorithms.label_propagation(eg.dedup_max(_e1(s, d)), 3),
         "profile_exact": lambda s, d: pf.exact(_e1(s, d), 3),
         "profile_size": lambda s, d: pf.window_sizes(_e1(s, d), 3),
-        "profile_output": lambda s, d: ex.profile_output(pf.exact(_e1(s, d), 3), eg.degree_undirected(_e1(s, d)), HORIZON),
+        "profile_output": lambda s, d: ex.vertex_output(pf.summaries(_e1(s, d), 3, HORIZON), eg.degree_undirected(_e1(s, d))),
         "landmark_maps": lambda s, d: ex.landmark_maps(algorithms.shortest_paths(_e1(s, d), algorithms.landmarks(eg.vertices(_e1(s, d)), 20), 20)).select(
             "id", F.size("distances").alias("landmarks"), F.array_max(F.map_values("distances")).alias("farthest")),
         "profile_window_exact": lambda s, d: pf.window_sizes(_e1(s, d), 3, HORIZON),
