@@ -16,7 +16,8 @@ tokens that they emit. It does what the pre-tokeniser and the merges do together
 
 States are subsets, so the machine is determinised while it is used: an arc is compiled when a text first takes
 it and is one table look-up from then on. Of ``MAX_ARCS`` compiled arcs a worker forgets all and goes on; no count
-depends on that. No ids are made to count a text. Characters have the classes that the file's own pre-tokeniser
+depends on that. Texts are read ``GROUP_CHARS`` at a time, so what a worker holds depends neither on the batches that
+it is handed nor on their words. No ids are made to count a text. Characters have the classes that the file's own pre-tokeniser
 gives them, and texts beyond ASCII pass the file's own normaliser before they reach the machine.
 
 A chunk of a text is a map from the state it is entered in to the state it is left in and the tokens it emits.
@@ -36,6 +37,7 @@ from __future__ import annotations
 import json
 import os
 import pickle
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -51,7 +53,9 @@ MAX_ARCS = 400_000
 #: A trie node with more tokens below keeps the token before it in the state.
 FEW_BELOW = 64
 #: A lane's characters, the steps that are fetched at a time, and how few lanes are read one by one.
-LANE, BLOCK, FEW = 1_024, 32, 16
+LANE, BLOCK, FEW = 256, 32, 16
+#: Characters of the texts that are read in step; a longer text is a group of its own.
+GROUP_CHARS = 1 << 21
 #: Stands for a special token. Normalised texts are lower case, so none has it.
 SPECIAL = "A"
 #: Added to a plain byte, the symbol of a byte that ends a word.
@@ -140,6 +144,12 @@ class Merges:
             found = self.settled[node, before] = -1 if all(fits) else before if any(fits) else None
         return found
 
+    def forget(self) -> None:
+        """Drop what is worked out again when it is asked for."""
+        self.settled.clear()
+        for side in self.edges:
+            side.clear()
+
     def edge(self, t: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at a token's end (side 1) or start (side 0) while it is made, last first, and
         the rank of the merge that takes each up."""
@@ -262,7 +272,8 @@ class Transducer:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        # The vocabulary is in the machine: the library is asked for classes and normal forms only.
+        self.library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         split, byte_level = spec["pre_tokenizer"]["pretokenizers"]
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"] or byte_level["use_regex"] or byte_level["add_prefix_space"]:
@@ -281,6 +292,8 @@ class Transducer:
         self.merges = Merges(spec["model"], set(special))
         self.kinds: dict[str, str] = {}
         self.states: dict[tuple, State] = {}
+        #: Sets of ways and ways, each held once: states share them.
+        self.shared: dict[tuple, tuple] = {}
         self.numbered: list[State] = []
         self.compiled = 0
         self.arcs = Arcs()
@@ -303,6 +316,10 @@ class Transducer:
     def state(self, key: tuple) -> State:
         found = self.states.get(key)
         if found is None:
+            *rest, ways = key
+            if ways not in self.shared:
+                ways = tuple(self.shared.setdefault(w, w) for w in ways)
+            key = (*rest, self.shared.setdefault(ways, ways))
             found = self.states[key] = State(self, key, len(self.numbered))
             self.numbered.append(found)
         return found
@@ -369,7 +386,8 @@ class Transducer:
             s.clear()
         self.states, self.numbered = {self.start.key: self.start}, [self.start]
         self.arcs.clear(1 << 16)
-        self.merges.settled.clear()
+        self.shared.clear()
+        self.merges.forget()
         self.compiled = 0
 
     def normal(self, text: str) -> str:
@@ -385,28 +403,30 @@ class Transducer:
         return state, total
 
     def counts(self, texts: list[str]) -> list[int]:
-        """The tokens of whole texts, all of which the machine reads in step.
+        """The tokens of whole texts."""
+        return [n for group in grouped(texts) for n in self.in_step([self.normal(t) for t in group])[0]]
+
+    def in_step(self, made: list[str]) -> tuple[list[int], list[int]]:
+        """The tokens of normalised texts from the first state on, and the numbers of the states they are left in.
 
-        A text is a lane, or several that are cut where white space resets the machine; a step takes one
-        character of every lane. What few lanes have left is read lane by lane."""
-        if not texts:
-            return []
+        The machine reads all texts in step. A text is a lane, or several that are cut where white space resets the
+        machine; a step takes one character of every lane. What few lanes have left is read lane by lane."""
         if self.compiled > MAX_ARCS:
             self.forget()
-        made = [self.normal(t) for t in texts]
         line = "".join(made)
-        codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
         ends = np.cumsum([0, *map(len, made)])
-        resets = np.flatnonzero((codes == 32) | (codes == ord(SPECIAL))) + 1
+        resets = np.append(np.flatnonzero((codes == 32) | (codes == ord(SPECIAL))) + 1, len(codes))
         cuts = resets[np.searchsorted(resets, np.arange(LANE, len(codes), LANE))]
-        first = np.unique(np.concatenate([ends[:-1], cuts[cuts < len(codes)]]))
-        size = np.diff(np.append(first, len(codes)))
+        placed = np.unique(np.concatenate([ends[:-1], cuts]))
+        placed = placed[placed < len(codes)]
+        size = np.diff(np.append(placed, len(codes)))
         order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
+        first, size = placed[order], size[order]
         state, total = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         step, live = 0, len(first)
         while live >= FEW:
-            ahead = codes.take(first[:live, None] + np.arange(step, step + BLOCK), mode="clip").T.copy()
+            ahead = codes.take(first[:live, None] + np.arange(step, step + BLOCK), mode="clip").T.astype(np.int64, order="C")
             for k in range(min(BLOCK, int(size[0]) - step)):
                 live = int(np.searchsorted(-size, -step, "left"))
                 if live < FEW:
@@ -425,25 +445,46 @@ class Transducer:
             live = int(np.searchsorted(-size, -step, "left"))
         for lane in range(live):
             begin, end = int(first[lane]), int(first[lane] + size[lane])
-            total[lane] += self.run(self.numbered[state[lane]], line[begin + step : end])[1]
-        return np.bincount(np.searchsorted(ends, first, "right") - 1, total, len(texts)).astype(np.int64).tolist()
+            left, n = self.run(self.numbered[state[lane]], line[begin + step : end])
+            state[lane], total[lane] = left.number, total[lane] + n
+        counts = np.bincount(np.searchsorted(ends, first, "right") - 1, total, len(made)).astype(np.int64).tolist()
+        in_place = np.zeros(len(placed) + 1, np.int64)
+        in_place[order] = state
+        # A text is left in the state of its last lane; an empty one has none.
+        last = np.where(np.diff(ends) > 0, np.searchsorted(placed, ends[1:]) - 1, len(placed))
+        return counts, in_place[last].tolist()
+
+    def chunk_maps(self, texts: list[str]) -> list[tuple[str, int | None, bytes | None]]:
+        """Of chunks of normalised texts: the characters up to the first reset, the tokens from there on, and the
+        exit state. Without a reset all characters come first, and there is neither count nor state."""
+        out: list[tuple[str, int | None, bytes | None]] = []
+        for group in grouped(texts):
+            heads = [first.end() if (first := _RESET.search(t)) else None for t in group]
+            counts, exits = map(iter, self.in_step([t[h:] for t, h in zip(group, heads) if h is not None]))
+            for t, h in zip(group, heads):
+                out.append((t, None, None) if h is None else (t[:h], next(counts), pickle.dumps(self.numbered[next(exits)].key)))
+        return out
 
     def chunk_map(self, text: str) -> tuple[str, int | None, bytes | None]:
-        """Of a chunk of a normalised text: the characters up to the first reset, the tokens from there on, and the
-        exit state. Without a reset all characters come first, and there is neither count nor state."""
-        if self.compiled > MAX_ARCS:
-            self.forget()
-        first = _RESET.search(text)
-        if first is None:
-            return text, None, None
-        state, n = self.run(self.start, text[first.end() :])
-        return text[: first.end()], n, pickle.dumps(state.key)
+        return self.chunk_maps([text])[0]
 
     def resume(self, entry: bytes | None, text: str) -> int:
         """The tokens of some characters from an entry state on."""
         return self.run(self.state(pickle.loads(entry)) if entry else self.start, text)[1]
 
 
+def grouped(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of at most GROUP_CHARS, or of one text."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        if k > begin and size + len(text) > GROUP_CHARS:
+            yield texts[begin:k]
+            begin, size = k, 0
+        size += len(text)
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 @lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     return Transducer(path)
@@ -485,7 +526,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, chunk_chars: int
     def maps(batches):
         machine = transducer(path)
         for b in batches:
-            head, count, exit_state = zip(*map(machine.chunk_map, b.column("text").to_pylist())) if b.num_rows else ((), (), ())
+            head, count, exit_state = zip(*machine.chunk_maps(b.column("text").to_pylist())) if b.num_rows else ((), (), ())
             yield batch(mapped, **{c: b.column(c) for c in [*keys, "chunk"]}, head=head, count=count, exit=exit_state)
 
     rows = rows.mapInArrow(maps, f"{ddl}, chunk long, head string, count long, exit binary")

@@ -40,6 +40,35 @@ def test_full_table_is_compiled_anew(monkeypatch):
     assert [machine.run(machine.start, machine.normal(t))[1] for t in many] == want
 
 
+def test_a_batch_is_read_in_bounded_groups(monkeypatch):
+    tok, rng = Tokenizer.from_file(PATH), random.Random(5)
+    machine = tc.Transducer(PATH)
+    many = ["", "x" * 700, *("".join(rng.choices("abcdefg ", k=rng.randint(0, 120))) for _ in range(200)), "", "9" * 40]
+    monkeypatch.setattr(tc, "GROUP_CHARS", 500, raising=False)
+    monkeypatch.setattr(tc, "MAX_ARCS", 300)
+    held, forget = [], machine.forget
+    monkeypatch.setattr(machine, "forget", lambda: (held.append(machine.compiled), forget()))
+    # One batch: the table of arcs is given up within it, whenever it is full.
+    assert machine.counts(many) == [len(tok.encode(t, add_special_tokens=False).ids) for t in many]
+    assert len(held) > 3 and max(held) < 1_500
+    groups = list(tc.grouped(many))
+    assert sum(groups, []) == many and all(len(g) == 1 or sum(map(len, g)) <= 500 for g in groups)
+
+
+def test_chunk_maps_in_step_equal_one_by_one():
+    machine = tc.transducer(PATH)
+    lines = [machine.normal(t) for t in texts()[1:]] + ["", "x", " ", "a b", "two words"]
+    lines = [x for t in lines for x in (t, t[: len(t) // 2])]
+    for line, (head, n, left) in zip(lines, machine.chunk_maps(lines)):
+        first = tc._RESET.search(line)
+        assert head == (line[: first.end()] if first else line)
+        if first is None:
+            assert n is None and left is None
+        else:
+            state, count = machine.run(machine.start, line[first.end() :])
+            assert (n, tc.pickle.loads(left)) == (count, state.key)
+
+
 def test_neighbours_that_the_merges_leave_alone():
     merges = tc.transducer(PATH).merges
     rng = random.Random(3)
