@@ -10,8 +10,9 @@ local start plus the lengths of the parts before, which come from the metadata c
 
 Encoding. The library encodes pieces of a text. A text is cut before white space that follows another
 character, and before punctuation that follows a Latin letter: there the pre-tokeniser always
-has a boundary, and it looks at nothing before a match. The first ``MAX_PIECES`` pieces of a worker stay in
-a table, later ones for the group of texts at hand. A text with a special token's string goes whole.
+has a boundary, and it looks at nothing before a match. The first ``MAX_PIECES`` pieces of a worker, of at most
+``LONGEST`` characters, stay in a table, others for the group of texts at hand. Groups are small, as a worker holds all
+pieces of one: that leaves its memory to the table. A text with a special token's string goes whole.
 
 Cases: a null text counts as empty and has the end id only; repeated rows each give a row, equal ids in
 the order of their texts' hashes; null ids come first, and ids of any type keep it; an empty table gives an empty
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 from .common import batch, id_types, new_folder
 
 END_ID = 2
-MAX_PIECES = 500_000
-GROUP = 2_048
+MAX_PIECES = 900_000
+LONGEST = 64
+GROUP = 256
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 DICTIONARY_BYTES = 1 << 20
@@ -66,16 +68,21 @@ class PieceEncoder:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for at in range(0, len(texts), GROUP):
-            pieces = [[t] if any(s in t for s in self.special) else _PIECE.findall(t) for t in texts[at : at + GROUP]]
-            got = [list(map(self.held.get, p)) for p in pieces]
-            holes = [list(compress(count(), map(not_, g))) for g in got]
-            new = list({p[k] for p, at in zip(pieces, holes) for k in at})
+            cut, got, holes = [], [], []
+            for t in texts[at : at + GROUP]:
+                pieces = [t] if any(s in t for s in self.special) else _PIECE.findall(t)
+                ids = list(map(self.held.get, pieces))
+                holes.append(list(compress(count(), map(not_, ids))) if None in ids else ())
+                got.append(ids)
+                cut.append([pieces[k] for k in holes[-1]])
+            new = list(set().union(*cut))
             made = {p: array("I", e.ids).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-            for p, g, at in zip(pieces, got, holes):
-                for k in at:
-                    g[k] = made[p[k]]
-                out.append(b"".join(g))
-            self.held.update(islice(made.items(), max(0, MAX_PIECES - len(self.held))))
+            for ids, places, missed in zip(got, holes, cut):
+                for k, p in zip(places, missed):
+                    ids[k] = made[p]
+                out.append(b"".join(ids))
+            short = ((p, x) for p, x in made.items() if len(p) <= LONGEST)
+            self.held.update(islice(short, max(0, MAX_PIECES - len(self.held))))
         return out
 
 

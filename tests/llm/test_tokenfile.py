@@ -57,6 +57,25 @@ def test_table_bound(monkeypatch):
     assert len(encoder.held) <= 10
 
 
+def test_the_library_is_asked_once_for_a_piece_and_long_ones_are_not_kept():
+    encoder, asked = tf.PieceEncoder(PATH), []
+
+    class Library:
+        def encode_batch_fast(self, pieces, add_special_tokens):
+            asked.append(len(pieces))
+            return [type("Ids", (), {"ids": [len(p)]}) for p in pieces]
+
+    encoder.tokenizer = Library()
+    letters = str.maketrans("0123456789", "abcdefghij")
+    words = [str(k).translate(letters) for k in range(100_000, 700_000)]
+    texts = [" ".join(words[k : k + 600]) for k in range(0, len(words), 600)] + ["x" * 5_000]
+    first = encoder.encode(texts)
+    # 600,000 words, the thousand that begin a text as they stand without a space, and the long one.
+    assert sum(asked) == 600_001 and len(encoder.held) == 600_000 and max(map(len, encoder.held)) == 7
+    assert encoder.encode(texts) == first and sum(asked) == 600_002
+    assert max(asked) <= 256 * 600
+
+
 def test_ranges_follow_bytes_and_a_repeated_id_is_split(spark, monkeypatch):
     docs = spark.range(400).select(F.lit("same").alias("doc_id"), F.repeat(F.col("id").cast("string"), 50).alias("text"))
     folder = new_folder(spark, "t")
