@@ -22,7 +22,9 @@ Large families of documents that are all just under the threshold of each other
 every pair: no filter here tells 0.70 from 0.75 without a look at both.
 
 Classes are named by 64-bit hashes of their sets. Tables that several steps read are written to the
-shared folder. Nothing is collected but counts.
+shared folder. Nothing is collected but counts, most of them taken while a table is written. A turn is a few small
+plans with a table between them, and ends where a table is empty: the driver's memory goes with the number of exchanges
+of a plan, which adaptive execution plans anew after each of them, and not with the rows.
 
 Cases: null and empty texts have no shingles and stay alone; with fewer than five words the whole
 sequence is the one shingle; repeated rows and equal ids each give a row; a null doc_id takes part, is
@@ -39,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize_counting
 from .common import WORD_SEPARATORS, batch, id_types, materialize, release
 
 SHINGLE = 5
@@ -162,8 +165,7 @@ def connect(spark: SparkSession, edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", "label", F.least("label", "low").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("further"))
         step = step.join(jump, "low", "left").select("node", F.coalesce(F.least("further", "low"), "low").alias("next"), "label")
-        made = materialize(spark, step, "labels")
-        changed = made.where("next <> label").limit(1).count()
+        made, changed = materialize_counting(spark, step, "labels", F.col("next") != F.col("label"))
         release(spark, labels)
         labels = made.select("node", F.col("next").alias("label"))
         labels.written_to = made.written_to
@@ -185,13 +187,14 @@ class Links:
         bands = one.select("node", F.explode("bands").alias("key"))
         # A table of its own: a join of two plain exchanges is one whose hot keys can be split.
         many = materialize(spark, bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
-        self.buckets = materialize(spark, bands.join(many, "key").select("key", "node", "members"), "buckets")
+        self.buckets, self.found = materialize_counting(spark, bands.join(many, "key").select("key", "node", "members"), "buckets", F.lit(True))
         active = self.buckets.groupBy("node").agg(F.sum("members").alias("meets"))
         classes = own.groupBy("node", "n_shingles", *SIGNATURE).agg(F.min("doc_id").alias("first_id")).join(active, "node")
         self.classes = materialize(spark, classes, "classes")
         self.sets = self._sets()
         self.tested = None
         self.labels = None
+        self.mixed = None
 
     def _sets(self) -> DataFrame:
         """The full shingle sets of the classes that share a bucket with another."""
@@ -218,9 +221,11 @@ class Links:
         """key, node, comp of the buckets that hold several components."""
         if self.labels is None:
             return self.buckets.select("key", "node", F.col("node").alias("comp"))
-        rows = self.buckets.join(self.labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return rows.join(mixed, "key")
+        if self.mixed is None:
+            rows = self.buckets.join(self.labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+            mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            self.mixed = materialize(self.spark, rows.join(mixed, "key"), "mixed")
+        return self.mixed
 
     def signed(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.classes.select("node", "n_shingles", "meets", *SIGNATURE), "node")
@@ -307,9 +312,13 @@ class Links:
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Test the pairs on the full sets, keep them as tested, merge the confirmed ones."""
+        """Test the pairs, which are of different components, on the full sets, keep them as tested, merge the confirmed ones."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs, wanted = materialize_counting(self.spark, pairs, "pairs", F.lit(True))
+        if not wanted:
+            release(self.spark, pairs)
+            return
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
         def test(batches):
@@ -323,26 +332,34 @@ class Links:
 
         sets = self.sets
         joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        found = materialize(self.spark, joined.select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean"), "tested")
+        tested = joined.select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean")
+        found, linked = materialize_counting(self.spark, tested, "tested", F.col("linked"))
+        release(self.spark, pairs)
         seen = found.select("a", "b")
         self.tested = seen if self.tested is None else self.tested.union(seen)
-        links = found.where("linked").select("a", "b")
+        if linked:
+            self.merge(found.where("linked").select("a", "b"))
+
+    def merge(self, links: DataFrame) -> None:
+        """The components after links between classes of different ones."""
         if self.labels is not None:
             for c in ("a", "b"):
                 links = links.join(self.labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left")
             links = links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
-        if links.limit(1).count():
-            new = connect(self.spark, links)
-            if self.labels is None:
-                self.labels = new
-                return
-            moved = self.labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            added = new.join(self.labels.select("node"), "node", "left_anti")
-            self.labels = materialize(self.spark, moved.union(added), "components")
+        new = connect(self.spark, links)
+        if self.mixed is not None:
+            release(self.spark, self.mixed)
+            self.mixed = None
+        if self.labels is None:
+            self.labels = new
+            return
+        moved = self.labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        added = new.join(self.labels.select("node"), "node", "left_anti")
+        self.labels = materialize(self.spark, moved.union(added), "components")
 
     def find(self) -> DataFrame:
         """doc_id, text_hash, n_shingles, node, comp of every row."""
-        if self.buckets.limit(1).count():
+        if self.found:
             for turn in range(3):
                 self.confirm(self.with_centres(self.members(), turn))
             self.confirm(self.across(self.members()))

@@ -141,3 +141,30 @@ def test_estimate_is_unbiased(spark):
     df = df.select("j", F.struct(*[F.col("p")[k].alias(s) for k, s in enumerate(nd.SIGNATURE)]).alias("x"), F.struct(*[F.col("q")[k].alias(s) for k, s in enumerate(nd.SIGNATURE)]).alias("y"))
     for r in df.groupBy("j").agg(F.avg(nd.estimate("x", "y")).alias("e")).collect():
         assert abs(r.e - r.j) < 0.03
+
+
+def test_plans_stay_small_and_stop_at_empty_tables(spark, monkeypatch):
+    """The driver's memory goes with the exchanges of a plan and the number of plans."""
+    plans = []
+    for name in ("materialize", "materialize_counting"):
+        plain = getattr(nd, name, None)
+
+        def written(session, df, what, *more, plain=plain):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            plans.append((what, len(re.findall(r"(?<!Reused)Exchange ", plan))))
+            return plain(session, df, what, *more)
+
+        monkeypatch.setattr(nd, name, written, raising=False)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r)[:4] for r in nd.components(spark, docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
+    assert max(n for _, n in plans) <= 15
+    # Two copies of a base and two of another: after the first turn no bucket holds several components.
+    plans.clear()
+    base = [" ".join(f"{c}{k}" for k in range(60)) for c in "ab"]
+    rows = [(k, base[k // 2] + " end" * (k % 2)) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r)[:4] for r in nd.components(spark, docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
+    assert [w for w, _ in plans].count("tested") == 1
