@@ -6,6 +6,11 @@ follows their walks hop by hop; for sketches it takes a share of the buckets, wh
 through all hops. Nothing is shuffled, and nothing but the packed graph is written: rows go from the task that makes
 them to their reader.
 
+A profile's rows are in proportion to pairs of vertices, so their order matters to who writes them: a task takes some
+thousands of vertices at once and gives their rows by neighbour, so that neighbours come in runs and few
+vertices stand in turn beside them. In Parquet both then take fewer bytes than neighbours that never repeat
+(``_toward``). Where walks are few, vertex by vertex is less work.
+
 Within a task, rows are 64-bit integers: vertex, neighbour (or rank) and time from the high bits to the low ones, so
 that sorting brings equal (vertex, neighbour) together with the newest last. Walks are worked on in pieces of about
 ``PIECE``, so a vertex of many walks takes time and no more memory than its result.
@@ -33,6 +38,8 @@ MOST_PAIRS = 32_000_000
 PIECE = 500_000
 #: Pairs of a row of the packed table, and for which there is a task.
 CHUNK, TASK_PAIRS = 65_536, 300_000
+#: Entries that a block of vertices holds between hops, about, and its most vertices as a power of two.
+HELD, BLOCK_BITS = 1 << 22, 13
 RANK_BITS = 7
 _PACKED = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("x", pa.binary())])
 _PACKED_SQL = "kind int, a binary, b binary, x binary"
@@ -211,12 +218,12 @@ def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return at
 
 
-def _pieces(count: np.ndarray) -> Iterator[slice]:
-    """Slices whose counts sum to about PIECE at most, but for single items."""
-    ends, at = np.cumsum(count), 0
+def _pieces(count: np.ndarray, most: int | None = None) -> Iterator[slice]:
+    """Slices whose counts sum to most (PIECE) at most, but for single items."""
+    ends, at, most = np.cumsum(count), 0, most or PIECE
     while at < len(count):
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield slice(at, to)
         at = to
 
@@ -278,6 +285,93 @@ def _shares(g: Graph, task: int, tasks: int, hops: int) -> Iterator[tuple[np.nda
         some = max(1, min(most, 4 * some, some * PIECE // max(1, walks)))
 
 
+def _bounds(g: Graph, hops: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each vertex at least as many as its entries below the last hop, and as its entries at the last hop."""
+    held, last = np.zeros(g.n, np.int32), np.ones(g.n, np.int32)
+    for _ in range(hops):
+        held += last
+        more = np.empty(g.n, np.int32)
+        for part in _pieces(g.deg):
+            ends = np.cumsum(g.deg[part])
+            sums = np.cumsum(last[g.words[_spans(g.off[part], g.deg[part])] >> g.tb])
+            more[part] = np.minimum(np.diff(sums[ends - 1], prepend=0), g.n)
+        last = more
+    return held, last
+
+
+def _block_bits(g: Graph) -> int:
+    """Beside a time and a vertex's place in a piece."""
+    return min(BLOCK_BITS, 63 - g.tb - min(g.vb, PIECE.bit_length()))
+
+
+def _reached(g: Graph, count: np.ndarray, words: np.ndarray, bits: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(from, to, rows) for ranges of vertices, all in turn: the newest of their neighbours' entries. count, words: the
+    entries (place of bits, time) of each vertex, in order; rows are (vertex from the range's first, place, time)."""
+    start = np.cumsum(count, dtype=np.int32) - count
+    for part in _pieces(g.deg):
+        ends = np.cumsum(g.deg[part])
+        x = g.words[_spans(g.off[part], g.deg[part])]
+        c = count[x >> g.tb]
+        walks = np.diff(np.cumsum(c)[ends - 1], prepend=0)
+        for piece in _pieces(walks):
+            lo, hi = ends[piece.start] - g.deg[part][piece.start], ends[piece.stop - 1]
+            owner = np.repeat(np.arange(piece.stop - piece.start), g.deg[part][piece]) << (bits + g.tb)
+            some = np.flatnonzero(c[lo:hi])
+            near, owner, k = x[lo:hi][some], owner[some], c[lo:hi][some]
+            rows = words[:0]
+            # A vertex of many walks stands alone, in parts.
+            for at in _pieces(k):
+                y = words[_spans(start[near[at] >> g.tb], k[at])]
+                time = np.minimum(y & g.time, np.repeat(near[at] & g.time, k[at]))
+                y &= ~g.time
+                y |= time
+                y |= np.repeat(owner[at], k[at])
+                rows = _newest(y if not len(rows) else np.concatenate((rows, y)), g.tb)
+            yield part.start + piece.start, part.start + piece.stop, rows
+
+
+def _toward(g: Graph, own: np.ndarray, hops: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """hop, and by neighbour in order: neighbours, places in own (ascending vertices), times. Walks have no
+    direction: what a vertex has of own is what own has of it."""
+    bits = _block_bits(g)
+    key = bits + g.tb
+    count = np.zeros(g.n, np.int32)
+    count[own] = 1
+    words = (np.arange(len(own)) << g.tb) | g.time
+    # Of all hops so far the newest; at no later hop a vertex has itself, at any time.
+    best_count, best = count, words
+    for hop in range(1, hops + 1):
+        ends = np.cumsum(best_count, dtype=np.int32)
+        found, merged, counts, best_counts = [], [], np.zeros(g.n, np.int32), np.zeros(g.n, np.int32)
+        for lo, hi, rows in _reached(g, count, words, bits):
+            c = best_count[lo:hi]
+            old = best[ends[lo] - c[0] : ends[hi - 1]] | (np.repeat(np.arange(hi - lo), c) << key)
+            if len(rows) and len(old):
+                who, lower = rows >> g.tb, old >> g.tb
+                at = np.minimum(np.searchsorted(who, lower), len(who) - 1)
+                same = who[at] == lower
+                before = np.full(len(rows), -1)
+                before[at[same]] = old[same] & g.time
+                rows = rows[(rows & g.time) > before]
+            if len(rows):
+                yield hop, (rows >> key) + lo, (rows >> g.tb) & ((1 << bits) - 1), rows & g.time
+            if hop < hops:
+                old = _newest(np.concatenate((old, rows)), g.tb) if len(rows) else old
+                for entries, to, into in ((rows, found, counts), (old, merged, best_counts)):
+                    to.append(entries & ((1 << key) - 1))
+                    into[lo:hi] = np.bincount(entries >> key, minlength=hi - lo)
+        if hop < hops:
+            count, words, best_count, best = counts, np.concatenate(found), best_counts, np.concatenate(merged)
+
+
+def _blocks(g: Graph, task: int, tasks: int, hops: int) -> list[np.ndarray] | None:
+    """The vertices of a task in blocks for _toward, or None where walks are fewer than the pairs that it reads."""
+    mine = np.arange(task, g.n, tasks)
+    held, last = (x[mine].astype(np.int64) for x in _bounds(g, hops))
+    blocks = [mine[k] for k in _pieces(np.maximum(held, max(1, HELD >> _block_bits(g))), HELD)]
+    return blocks if last.sum() >= len(blocks) * len(g.words) else None
+
+
 def _batch(schema: pa.Schema, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
     for k in range(0, whole.num_rows, CHUNK):
@@ -290,7 +384,11 @@ def profiles(packed: Packed, hops: int) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("hop", pa.int32()), ("nbr", pa.int64()), ("ts", pa.int64())])
 
     def kernel(g: Graph, task: int) -> Iterator[pa.RecordBatch]:
-        for own, levels in _shares(g, task, tasks, hops):
+        blocks = _blocks(g, task, tasks, hops)
+        for own in blocks or ():
+            for hop, nbr, place, time in _toward(g, own, hops):
+                yield from _batch(schema, g.ids[own[place]], np.full(len(nbr), hop, np.int32), g.ids[nbr], time + g.base)
+        for own, levels in _shares(g, task, tasks, hops) if blocks is None else ():
             for hop, (rows, _) in enumerate(levels, 1):
                 near, far = own[rows >> (g.vb + g.tb)], (rows >> g.tb) & ((1 << g.vb) - 1)
                 yield from _batch(schema, g.ids[near], np.full(len(rows), hop, np.int32), g.ids[far], (rows & g.time) + g.base)

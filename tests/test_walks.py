@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 from test_graph import ET, rows
@@ -61,6 +62,50 @@ def test_packed_is_as_by_tables(spark, monkeypatch, vertices, edges, times, hub)
     assert sorted((int(g.ids[lo + (x >> (7 + g.tb))]), 1, 5, (x >> g.tb) & 127, (x & g.time) + g.base) for lo, _, r in parts for x in r.tolist()) == [t for t in tables if t[1] == 1 and t[2] == 5]
 
 
+@pytest.mark.parametrize(("vertices", "edges", "times", "hub"), [(40, 200, 2**40, 40), (300, 330, 50, 250), (60, 700, 9, 0)])
+@pytest.mark.parametrize(("piece", "held"), [(500_000, 1 << 22), (7, 1 << 8)])
+def test_profiles_of_blocks_are_as_by_tables(spark, monkeypatch, vertices, edges, times, hub, piece, held):
+    frame = graph(spark, edges + 1, vertices, edges, times, hub)
+    packed = walks.pack(frame)
+    monkeypatch.setattr(walks, "PIECE", piece)
+    monkeypatch.setattr(walks, "HELD", held)
+    g = walks.Graph(packed.n, packed.pairs, packed.base, packed.time_bits)
+    for r in packed.rows.collect():
+        g.add(*r)
+    g.close()
+    found = []
+    for task in range(2):
+        blocks = walks._blocks(g, task, 2, 3)
+        mine = list(range(task, g.n, 2))
+        if blocks is not None:
+            assert [i for own in blocks for i in own.tolist()] == mine
+            assert (len(blocks) > 1) == (held < 1 << 22)
+        for own in blocks or [walks.np.array(mine)]:
+            for hop, nbr, place, time in walks._toward(g, own, 3):
+                found += [(int(g.ids[own[p]]), hop, int(g.ids[n]), int(t) + g.base) for n, p, t in zip(nbr, place, time)]
+    assert sorted(found) == rows(pf.exact_by_tables(frame, 3))
+
+
+def test_neighbours_come_in_runs(spark, tmp_path):
+    """A result of all pairs of vertices is written in fewer bytes where neighbours repeat from row to row."""
+    frame = graph(spark, 7, 800, 4000, 50)
+    profile = pf.exact(frame, 3)
+    parts = {}
+    for r in profile.withColumn("part", F.spark_partition_id()).collect():
+        parts.setdefault(r.part, []).append((r.hop, r.nbr))
+    total = sum(map(len, parts.values()))
+    runs = sum(1 for p in parts.values() for a, b in zip([None, *p], p) if a != b)
+    assert total > 200_000 and runs < total / 10
+    profile.write.parquet(str(tmp_path / "out"))
+    chunks = [walks.pa.parquet.ParquetFile(f).metadata.row_group(0) for f in (tmp_path / "out").glob("*.parquet")]
+    assert sum(c.num_rows for c in chunks) == total
+    assert sum(c.column(2).total_compressed_size for c in chunks) < total / 2
+    # Few walks: vertex by vertex, without a pass over all pairs for each block.
+    sparse = walks.Graph(4000, 4000, 0, 4)
+    sparse._place(walks.np.arange(4000), walks.np.ones(4000, int), (walks.np.arange(4000) ^ 1) << 4)
+    assert walks._blocks(sparse, 0, 8, 3) is None
+
+
 def test_no_pairs_of_vertices_are_written(spark, monkeypatch):
     """A star of n vertices has n * n profile rows: what is written stays in proportion to its edges."""
     written = []
